@@ -13,7 +13,7 @@ from sitesignal.operators import sites as s
 from sitesignal.operators import summaries as m
 from sitesignal.operators.baselines import add_residuals, fit_kmer_baselines
 from sitesignal.operators.features import build_features, read_features
-from sitesignal.plans.ingest import ingest, label_counts, site_counts
+from sitesignal.plans.ingest import ingest, key_counts, site_counts
 from sitesignal.schema import (
     AGG_COLUMNS,
     BASELINE_FEATURES,
@@ -73,9 +73,10 @@ def _ingested(spark, sf, max_sites=None):
 def _ingest_audit(spark, sf):
     sites = _order_sites(spark, sf)
     counts = site_counts(sites)
-    return counts.select(
-        "*", label_counts(sites, _order_labels(spark, sf)).select(F.struct("*")).scalar().alias("l")
-    ).select(*counts.columns, "l.*")
+    matches = key_counts(sites, _order_labels(spark, sf)).drop("repeated")
+    return counts.select("*", matches.select(F.struct("*")).scalar().alias("m")).select(
+        *counts.columns, "m.*"
+    )
 
 
 def _text_signals(spark, sf):

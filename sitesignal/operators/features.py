@@ -173,11 +173,9 @@ def large_site_statistics(
             F.min(c).alias(f"{c}_min"),
             F.max(c).alias(f"{c}_max"),
         ]
-    stats = clean.groupBy(*SITE_KEYS).agg(*simple)
-    ranked = grouped_quantiles(
-        clean, SITE_KEYS, features, list(QUANTILES.values()), value_limit=value_limit
+    joined = grouped_quantiles(
+        clean, SITE_KEYS, features, list(QUANTILES.values()), simple, value_limit
     )
-    joined = stats.join(ranked, SITE_KEYS)
     named = {c: F.col(c) for c in statistic_columns(features) if c in joined.columns}
     for c in features:
         for i, q in enumerate(QUANTILES):

@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 # A group may keep this many values (rows times columns) in one task.
 GROUP_VALUE_LIMIT = 600_000
 # Above this many large groups their keys are joined, not broadcast.
-BROADCAST_GROUP_LIMIT = 2_000
-BROADCAST_RANGE_LIMIT = 200_000
+BROADCAST_GROUP_LIMIT = 1_000
 BUCKETS = 1_024
 
 
@@ -73,8 +72,11 @@ def grouped_quantiles(
 
     Adds one array column ``q_<column>`` per column, in the order of
     ``probs``.  Null and NaN values are skipped; null keys form no group.
-    Without ``keys`` the whole table is one group (one row).
+    Without ``keys`` the whole table is one group.  One job runs at once: it
+    aggregates all groups and so finds the large ones, whose ``aggregates``
+    and value ranges it brings along.
     """
+    aggregates = list(aggregates)
     df = df.select(
         *[c for c in df.columns if c not in columns],
         *[
@@ -89,42 +91,51 @@ def grouped_quantiles(
     for k in keys:
         df = df.filter(F.col(k).isNotNull())
     max_rows = max(1, value_limit // max(1, len(columns)))
-    large = large_groups(df, keys, max_rows)
+    ranges = []
+    for i, c in enumerate(columns):
+        ranges += [
+            F.count(c).alias(f"_n{i}"),
+            F.min(c).alias(f"_lo{i}"),
+            F.max(c).alias(f"_hi{i}"),
+        ]
+    groups = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *aggregates, *ranges)
+    is_large = F.col("_rows") > max_rows
+    head = groups.limit(BROADCAST_GROUP_LIMIT + 1).collect()
+    all_seen = len(head) <= BROADCAST_GROUP_LIMIT
+    if not all_seen:
+        head = groups.filter(is_large).limit(BROADCAST_GROUP_LIMIT + 1).collect()
+    found = [row for row in head if row["_rows"] > max_rows]
+
     exact = [F.percentile(c, list(probs)).alias(f"q_{c}") for c in columns]
-    if large is None:
+    if not found:
         result = df.groupBy(*keys).agg(*aggregates, *exact)
     else:
-        small_rows, large_rows = split_groups(df, keys, *large)
-        small = small_rows.groupBy(*keys).agg(*aggregates, *exact)
-        ranked = large_group_quantiles(
-            large_rows, keys, columns, probs, max_rows, large[1]
-        )
-        if aggregates:
-            stats = large_rows.groupBy(*keys).agg(*aggregates)
-            ranked = stats.join(ranked, keys, "left")
-        result = small.unionByName(ranked)
+        bounded = len(found) <= BROADCAST_GROUP_LIMIT
+        if bounded:
+            large = df.sparkSession.createDataFrame(found, groups.schema)
+        else:
+            ensure_checkpoint_dir(df.sparkSession)
+            large = groups.filter(is_large).checkpoint()
+        names = [c for c in groups.columns if not c.startswith(("_rows", "_n", "_lo", "_hi"))]
+        ranked = _ranked(df, keys, columns, probs, large, max_rows, bounded)
+        result = large.select(*names).join(ranked, keys, "left")
+        if not (all_seen and len(found) == len(head)):
+            rest, _ = split_groups(df, keys, large.select(*keys), bounded)
+            small = rest.groupBy(*keys).agg(*aggregates, *exact)
+            result = small.unionByName(result)
     return result.drop("_group") if whole else result
 
 
-def large_group_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    columns: list[str],
-    probs: list[float],
-    max_rows: int,
-    bounded: bool,
-) -> DataFrame:
-    """Exact quantiles of groups that no single task should hold."""
-    ensure_checkpoint_dir(df.sparkSession)
+def _ranked(df, keys, columns, probs, large, max_rows, bounded):
+    """Exact quantiles of the groups in ``large``, without listing a group."""
+    spark = df.sparkSession
     names = {c: i for i, c in enumerate(columns)}
     values = df.select(
         *keys,
         F.inline(
             F.array(
                 *[
-                    F.struct(
-                        F.lit(i).alias("_column"), F.col(c).cast("double").alias("_value")
-                    )
+                    F.struct(F.lit(i).alias("_column"), F.col(c).alias("_value"))
                     for c, i in names.items()
                 ]
             )
@@ -133,26 +144,30 @@ def large_group_quantiles(
 
     series = [*keys, "_column"]
     interval = [*series, "_lo", "_hi"]
-    position = F.lit(1.0) * (F.col("_n") - 1) * F.col("_p")
+    position = (F.col("_n") - 1) * F.col("_p")
+    per_series = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("_column"),
+                F.col(f"_lo{i}").alias("_lo"),
+                F.col(f"_hi{i}").alias("_hi"),
+                F.col(f"_n{i}").alias("_n"),
+            )
+            for i in names.values()
+        ]
+    )
+    per_prob = F.array(
+        *[
+            F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p"))
+            for i, p in enumerate(probs)
+        ]
+    )
+    # One row per group, column and wanted rank: the range that holds the rank,
+    # the number of values in it and the rank within it.
     targets = (
-        values.groupBy(*series)
-        .agg(
-            F.count("*").alias("_n"),
-            F.min("_value").alias("_lo"),
-            F.max("_value").alias("_hi"),
-        )
-        .withColumn(
-            "_target",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
-                        for i, p in enumerate(probs)
-                    ]
-                )
-            ),
-        )
-        .select(*interval, "_n", F.col("_target.i").alias("_i"), F.col("_target.p").alias("_p"))
+        large.select(*keys, F.inline(per_series))
+        .filter(F.col("_n") > 0)
+        .select(*interval, "_n", F.inline(per_prob))
         .withColumn("_floor", F.floor(position))
         .withColumn("_frac", position - F.col("_floor"))
         .withColumn("_upper", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -160,13 +175,23 @@ def large_group_quantiles(
         .select(*interval, "_n", "_i", "_frac", "_upper", "_rank")
     )
 
+    def settle(targets):
+        """(the same rows cut from their lineage, is a range still wide?)
+
+        At most 2 * groups * columns * probs rows: local if the groups are
+        few, a checkpoint otherwise.
+        """
+        wide = (F.col("_lo") < F.col("_hi")) & (F.col("_n") > max_rows)
+        if not bounded:
+            targets = targets.checkpoint()
+            return targets, not targets.filter(wide).isEmpty(), wide
+        rows = targets.collect()
+        some = any(r["_lo"] < r["_hi"] and r["_n"] > max_rows for r in rows)
+        return spark.createDataFrame(rows, targets.schema), some, wide
+
     def in_ranges(ranges):
-        small = (
-            bounded
-            and BROADCAST_GROUP_LIMIT * len(columns) * 2 * len(probs)
-            <= BROADCAST_RANGE_LIMIT
-        )
-        side = F.broadcast(ranges) if small else ranges
+        # At most BROADCAST_GROUP_LIMIT * columns * 2 * probs ranges.
+        side = F.broadcast(ranges) if bounded else ranges
         return values.join(side, series).filter(
             F.col("_value").between(F.col("_lo"), F.col("_hi"))
         )
@@ -205,9 +230,8 @@ def large_group_quantiles(
         .cast("int")
     )
     while True:
-        targets = targets.checkpoint()
-        wide = (F.col("_lo") < F.col("_hi")) & (F.col("_n") > max_rows)
-        if targets.filter(wide).isEmpty():
+        targets, narrowing, wide = settle(targets)
+        if not narrowing:
             break
         wanted = targets.filter(wide)
         counted = (

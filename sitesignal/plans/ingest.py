@@ -13,14 +13,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesignal.functions import is_drach
-from sitesignal.operators.joins import attach_labels, orphan_labels, unlabelled_sites
+from sitesignal.functions import central_kmer, is_drach
+from sitesignal.operators.joins import attach_labels
 from sitesignal.schema import SITE_KEYS
 from sitesignal.sources.labels import read_labels
 from sitesignal.sources.reads import write_reads
 from sitesignal.sources.signals import (
     LINE_ORDER,
-    duplicate_sites,
     explode_reads,
     good_sites,
     line_number,
@@ -48,16 +47,26 @@ def site_counts(sites: DataFrame) -> DataFrame:
     )
 
 
-def label_counts(sites: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: label rows, sites without a label, labels without a site."""
-    counts = [
-        labels.select(F.lit("label_rows").alias("metric")),
-        unlabelled_sites(sites, labels).select(F.lit("sites_without_labels").alias("metric")),
-        orphan_labels(labels, sites).select(F.lit("labels_without_parsed_sites").alias("metric")),
-    ]
-    names = ["label_rows", "sites_without_labels", "labels_without_parsed_sites"]
-    rows = counts[0].unionAll(counts[1]).unionAll(counts[2])
-    return rows.agg(*[F.count_if(F.col("metric") == n).alias(n) for n in names])
+def key_counts(sites: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """One row: a repeated site key or null, and how sites and labels match.
+
+    Keys of both sides are counted in one grouping, which answers the
+    duplicate check and both set differences with a single shuffle of keys.
+    """
+    keys = sites.select(*SITE_KEYS, F.lit(1).alias("site"), F.lit(0).alias("label"))
+    if labels is not None:
+        keys = keys.unionAll(
+            labels.select(*SITE_KEYS, F.lit(0).alias("site"), F.lit(1).alias("label"))
+        )
+    per_key = keys.groupBy(*SITE_KEYS).agg(
+        F.sum("site").alias("site"), F.sum("label").alias("label")
+    )
+    return per_key.agg(
+        F.min(F.when(F.col("site") > 1, F.struct(*SITE_KEYS))).alias("repeated"),
+        F.coalesce(F.sum("label"), F.lit(0)).alias("label_rows"),
+        F.count_if(F.col("label") == 0).alias("sites_without_labels"),
+        F.count_if(F.col("site") == 0).alias("labels_without_parsed_sites"),
+    )
 
 
 def ingest(
@@ -95,23 +104,19 @@ def ingest(
     try:
         parse_lines(wanted).drop("value").write.parquet(partial)
         staged = spark.read.parquet(partial)
-        _raise_first_problem(staged, lines)
+        counts = _checked_counts(staged, lines)
         sites = good_sites(staged)
-        counts = site_counts(sites).first()
-        if not counts["parsed_sites"]:
-            raise ValueError("No sites were found in the input.")
+        matches = key_counts(sites, label_rows).first().asDict()
+        _raise_if_repeated(matches.pop("repeated"))
         audit = {
             "signal_path": signals,
             "label_path": str(labels) if labels is not None else None,
             "output_path": output,
             "max_sites_requested": max_sites,
-            **counts.asDict(),
-            "label_rows": None,
-            "sites_without_labels": None,
-            "labels_without_parsed_sites": None,
+            **counts,
+            **(matches if label_rows is not None else dict.fromkeys(matches)),
         }
         if label_rows is not None:
-            audit.update(label_counts(sites, label_rows).first().asDict())
             sites = attach_labels(sites, label_rows, validate=False)
         try:
             write_reads(explode_reads(sites), output, batch_size)
@@ -126,22 +131,47 @@ def ingest(
     return audit
 
 
-def _raise_first_problem(staged: DataFrame, lines: DataFrame) -> None:
-    """Raise for the first bad line or repeated site in file order."""
+def _raise_if_repeated(key):
+    if key is not None:
+        raise ValueError(f"Duplicate site in the signals: {tuple(key)}")
+
+
+def _checked_counts(staged: DataFrame, lines: DataFrame) -> dict:
+    """Audit counts of the staged lines; the first bad line raises.
+
+    So does a site that is repeated before that line, which comes first.
+    """
     where = F.struct(*LINE_ORDER)
-    bad = (
-        staged.filter(F.col("reason").isNotNull())
-        .agg(F.min(where).alias("at"), F.min_by("reason", where).alias("reason"))
+    bad = F.col("reason").isNotNull()
+    checked = staged.select(
+        "*", central_kmer().alias("central_5mer"), F.size("reads").alias("n_reads")
+    )
+    found = (
+        checked.select(
+            F.when(bad, where).alias("bad_at"),
+            "reason",
+            F.when(~bad, F.col("n_reads")).cast("bigint").alias("n_reads"),
+            F.when(~bad, F.col("central_5mer")).alias("central_5mer"),
+        )
+        .agg(
+            F.min("bad_at").alias("at"),
+            F.min_by("reason", "bad_at").alias("reason"),
+            F.count("central_5mer").alias("parsed_sites"),
+            F.coalesce(F.sum("n_reads"), F.lit(0)).alias("parsed_read_rows"),
+            F.count_if(F.col("central_5mer").isNotNull() & ~is_drach("central_5mer")).alias(
+                "sites_outside_expected_DRACH_motif"
+            ),
+        )
         .first()
+        .asDict()
     )
-    good = staged.filter(F.col("reason").isNull())
-    if bad["at"] is not None:
-        at, reason = bad["at"], bad["reason"]
+    at, reason = found.pop("at"), found.pop("reason")
+    if at is not None:
         before = F.struct(*[F.lit(at[c]).alias(c) for c in LINE_ORDER])
-        good = good.filter(where < before)
-    repeated = duplicate_sites(good).select(*SITE_KEYS).orderBy(*SITE_KEYS).limit(1).first()
-    if repeated is not None:
-        raise ValueError(f"Duplicate site in the signals: {tuple(repeated)}")
-    if bad["at"] is not None:
+        earlier = staged.filter(~bad & (where < before))
+        _raise_if_repeated(key_counts(earlier).first()["repeated"])
         number = line_number(lines, at["file"], at["block"], at["line_id"])
         raise ValueError(f"{at['file']}, line {number}: {reason}")
+    if not found["parsed_sites"]:
+        raise ValueError("No sites were found in the input.")
+    return found

@@ -356,7 +356,13 @@ def build():
         "agg23_overlap": on_reads("SELECT count(*) FILTER (in_a) AS sites_a, count(*) FILTER (in_b) AS sites_b, count(*) FILTER (in_a AND in_b) AS shared_sites, count(*) FILTER (in_a AND NOT in_b) AS only_a, count(*) FILTER (in_b AND NOT in_a) AS only_b, round(100.0 * count(*) FILTER (in_a AND in_b) / count(*) FILTER (in_a), 2) AS a_in_b_pct, round(100.0 * count(*) FILTER (in_a AND in_b) / count(*) FILTER (in_b), 2) AS b_in_a_pct, round(100.0 * count(*) FILTER (in_a AND in_b) / count(*), 2) AS jaccard_pct FROM pairs"),
         "agg24_agreement": on_reads("SELECT count(*) AS comparable_sites, (SELECT count(*) FROM pairs WHERE in_a AND in_b) - count(*) AS missing_either_label, count(*) FILTER (label_a = label_b) AS matching_labels, count(*) FILTER (label_a <> label_b) AS disagreeing_labels, round(100.0 * count(*) FILTER (label_a = label_b) / count(*), 2) AS agreement_pct, count(*) FILTER (label_a = 1 OR label_b = 1) AS positive_in_either, count(*) FILTER (label_a = 1 AND label_b = 1) AS positive_in_both FROM comparable"),
         "agg26_overview": on_reads(f"{overview('a')} UNION ALL {overview('b')}"),
-        "agg27_ingest_audit": on_orders(f"SELECT count(*) AS parsed_sites, sum(n_reads)::BIGINT AS parsed_read_rows, count(*) FILTER (NOT regexp_full_match(substr(sequence, 2, 5), '[AGT][AG]AC[ACT]')) AS \"sites_outside_expected_DRACH_motif\", (SELECT count(*) FROM labels_table) AS label_rows, (SELECT count(*) FROM good ANTI JOIN labels_table USING ({KEYS})) AS sites_without_labels, (SELECT count(*) FROM labels_table ANTI JOIN good USING ({KEYS})) AS labels_without_parsed_sites FROM good"),
+        "agg27_ingest_audit": on_orders(f"""SELECT 'parsed_sites' AS metric, count(*) AS value FROM good
+          UNION ALL SELECT 'parsed_read_rows', sum(n_reads)::BIGINT FROM good
+          UNION ALL SELECT 'sites_outside_expected_DRACH_motif', count(*) FROM good
+            WHERE NOT regexp_full_match(substr(sequence, 2, 5), '[AGT][AG]AC[ACT]')
+          UNION ALL SELECT 'label_rows', count(*) FROM labels_table
+          UNION ALL SELECT 'sites_without_labels', count(*) FROM good ANTI JOIN labels_table USING ({KEYS})
+          UNION ALL SELECT 'labels_without_parsed_sites', count(*) FROM labels_table ANTI JOIN good USING ({KEYS})"""),
         "dq1_metadata_conflicts": on_reads(f"SELECT {KEYS} FROM broken_sites WHERE conflict", BROKEN_SITES),
         "dq2_duplicate_reads": on_reads(f"SELECT * FROM {DUPLICATES}"),
         "dq3_kmer_mismatches": on_reads(f"SELECT {KEYS}, read_idx, sequence, central_5mer FROM broken WHERE central_5mer <> substr(sequence, 2, 5)"),

@@ -12,7 +12,8 @@ from sitesignal.operators import quality as q
 from sitesignal.operators import sites as s
 from sitesignal.operators import summaries as m
 from sitesignal.operators.baselines import add_residuals, fit_kmer_baselines
-from sitesignal.operators.features import build_features, read_features
+from sitesignal.operators.features import build_features
+from sitesignal.operators.read_features import read_features
 from sitesignal.plans.ingest import ingest, key_counts, site_counts
 from sitesignal.schema import (
     AGG_COLUMNS,
@@ -70,13 +71,16 @@ def _ingested(spark, sf, max_sites=None):
     return sr.read_reads(spark, output), audit
 
 
+def _long(df):
+    """A row of counts as (metric, value) rows."""
+    pairs = [F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in df.columns]
+    return df.select(F.inline(F.array(*pairs)))
+
+
 def _ingest_audit(spark, sf):
     sites = _order_sites(spark, sf)
-    counts = site_counts(sites)
     matches = key_counts(sites, _order_labels(spark, sf)).drop("repeated")
-    return counts.select("*", matches.select(F.struct("*")).scalar().alias("m")).select(
-        *counts.columns, "m.*"
-    )
+    return _long(site_counts(sites)).unionByName(_long(matches))
 
 
 def _text_signals(spark, sf):

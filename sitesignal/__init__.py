@@ -1 +1,30 @@
 """Per-site analytics on nanopore direct-RNA signal data, on Spark."""
+
+from sitesignal.operators.baselines import fit_kmer_baselines
+from sitesignal.operators.features import build_features
+from sitesignal.operators.quality import assert_quality, quality_report
+from sitesignal.operators.sites import site_labels, site_means, site_table
+from sitesignal.plans.ingest import ingest
+from sitesignal.plans.profile import compare, profile
+from sitesignal.schema import FEATURE_COLUMNS, FEATURE_COLUMNS_WITH_RESIDUALS, SITE_KEYS
+from sitesignal.sources.labels import read_labels
+from sitesignal.sources.reads import read_reads, write_reads
+
+__all__ = [
+    "FEATURE_COLUMNS",
+    "FEATURE_COLUMNS_WITH_RESIDUALS",
+    "SITE_KEYS",
+    "assert_quality",
+    "build_features",
+    "compare",
+    "fit_kmer_baselines",
+    "ingest",
+    "profile",
+    "quality_report",
+    "read_labels",
+    "read_reads",
+    "site_labels",
+    "site_means",
+    "site_table",
+    "write_reads",
+]

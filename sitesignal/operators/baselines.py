@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sitesignal.functions import central_kmer
 from sitesignal.operators.quantiles import GROUP_VALUE_LIMIT, grouped_quantiles
+from sitesignal.operators.read_features import read_features
 from sitesignal.schema import (
     BASELINE_FEATURES,
     FEATURE_INPUT,
@@ -24,8 +25,6 @@ def fit_kmer_baselines(
     Columns ``central_5mer`` and ``features``; the row ``__global__`` is the
     fallback for motifs that are not in the table.
     """
-    from sitesignal.operators.features import read_features
-
     require_columns(df, FEATURE_INPUT)
     features = list(features)
     reads = read_features(df, keep=["sequence"]).select(

@@ -37,7 +37,7 @@ def shared_sites(pairs: DataFrame) -> DataFrame:
 
 def comparable_sites(pairs: DataFrame) -> DataFrame:
     """Shared sites that are labelled in both data sets."""
-    return shared_sites(pairs).dropna(subset=["label_a", "label_b"])
+    return shared_sites(pairs).filter("label_a IS NOT NULL AND label_b IS NOT NULL")
 
 
 def overlap_summary(pairs: DataFrame) -> DataFrame:

@@ -1,7 +1,5 @@
 """The tables behind histograms and box plots."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +34,12 @@ def _bin(x, bins, lo, hi):
     return (guess - down + up).cast("int")
 
 
-def _bounds(values):
-    """Scalar (lo, hi) of the finite values, widened if all are equal."""
-    lo, hi = F.min("_x"), F.max("_x")
-    return values.agg(
-        F.struct(
-            F.when(lo == hi, lo - 0.5).otherwise(lo).alias("lo"),
-            F.when(lo == hi, hi + 0.5).otherwise(hi).alias("hi"),
-        )
-    ).scalar()
+def _widened(lo, hi):
+    """Struct (lo, hi), half a unit wider on each side if both are equal."""
+    return F.struct(
+        F.when(lo == hi, lo - 0.5).otherwise(lo).alias("lo"),
+        F.when(lo == hi, hi + 0.5).otherwise(hi).alias("hi"),
+    )
 
 
 def histogram(
@@ -60,7 +55,7 @@ def histogram(
     x = F.when(x > 0, F.log10(x)) if log else x
     values = df.select(x.alias("_x")).filter(F.abs("_x") < F.lit(float("inf")))
     if lo is None or hi is None:
-        limits = _bounds(values)
+        limits = values.agg(_widened(F.min("_x"), F.max("_x"))).scalar()
     else:
         limits = F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
     low, high = F.col("_b.lo"), F.col("_b.hi")
@@ -89,38 +84,50 @@ def density_by_label(
     """(feature, label, bin, lower, upper, count, density).
 
     Labels share the bins of a feature; each label's density integrates to 1.
+    Two passes over the reads, whatever the number of columns: one for the
+    bounds, one for the counts.
     """
-    parts = []
-    for column in columns:
-        values = (
-            labelled(reads)
-            .select("label", present(column).alias("_x"))
-            .filter(F.abs("_x") < F.lit(float("inf")))
-        )
-        limits = _bounds(values)
-        low, high = F.col("_b.lo"), F.col("_b.hi")
-        counts = (
-            values.withColumn("_b", limits)
-            .groupBy("label", _bin(F.col("_x"), bins, low, high).alias("bin"))
-            .agg(F.count("*").alias("count"))
+    rows = labelled(reads).select("label", *[present(c).alias(c) for c in columns])
+    values = rows.select(
+        "label",
+        F.inline(
+            F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("_x")) for c in columns])
+        ),
+    ).filter(F.abs("_x") < F.lit(float("inf")))
+    finite = {c: F.when(F.abs(c) < F.lit(float("inf")), F.col(c)) for c in columns}
+    limits = rows.agg(
+        F.create_map(
+            *[
+                part
+                for c, x in finite.items()
+                for part in (F.lit(c), _widened(F.min(x), F.max(x)))
+            ]
         )
-        groups = counts.groupBy("label").agg(F.sum("count").alias("_n"))
-        width = (high - low) / bins
-        parts.append(
-            groups.select("label", "_n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-            .join(counts, ["label", "bin"], "left")
-            .withColumn("_b", limits)
-            .select(
-                F.lit(column).alias("feature"),
-                "label",
-                "bin",
-                _edge(F.col("bin"), bins, low, high).alias("lower"),
-                _edge(F.col("bin") + 1, bins, low, high).alias("upper"),
-                F.coalesce("count", F.lit(0)).alias("count"),
-                (F.coalesce("count", F.lit(0)) / (F.col("_n") * width)).alias("density"),
-            )
+    ).scalar()
+    low, high = F.col("_b.lo"), F.col("_b.hi")
+    counts = (
+        values.withColumn("_b", F.try_element_at(limits, F.col("feature")))
+        .groupBy("feature", "label", _bin(F.col("_x"), bins, low, high).alias("bin"))
+        .agg(F.count("*").alias("count"))
+    )
+    # At most columns * labels * bins rows from here on.
+    groups = counts.groupBy("feature", "label").agg(F.sum("count").alias("_n"))
+    every_bin = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    filled = F.coalesce("count", F.lit(0))
+    return (
+        groups.select("feature", "label", "_n", every_bin)
+        .join(counts, ["feature", "label", "bin"], "left")
+        .withColumn("_b", F.try_element_at(limits, F.col("feature")))
+        .select(
+            "feature",
+            "label",
+            "bin",
+            _edge(F.col("bin"), bins, low, high).alias("lower"),
+            _edge(F.col("bin") + 1, bins, low, high).alias("upper"),
+            filled.alias("count"),
+            (filled / (F.col("_n") * ((high - low) / bins))).alias("density"),
         )
-    return reduce(DataFrame.unionByName, parts)
+    )
 
 
 def excluded_rows(reads: DataFrame, columns=CENTRAL_SIGNALS) -> DataFrame:

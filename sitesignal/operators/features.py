@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from sitesignal.functions import (
     central_kmer,
-    log_dwell,
     motif_one_hot,
     present,
     sequence_one_hot,
@@ -20,11 +19,11 @@ from sitesignal.operators.quantiles import (
     large_groups,
     split_groups,
 )
+from sitesignal.operators.read_features import SITE_CONTEXT, read_features
 from sitesignal.schema import (
     FEATURE_COLUMNS,
     FEATURE_COLUMNS_WITH_RESIDUALS,
     FEATURE_INPUT,
-    FLANKS,
     QUANTILES,
     READ_FEATURES,
     RESIDUAL_FEATURES,
@@ -35,34 +34,19 @@ from sitesignal.schema import (
     statistic_columns,
 )
 
-SITE_CONTEXT = [*SITE_KEYS, "sequence", "n_reads"]
-
-
-def read_features(df: DataFrame, keep=SITE_CONTEXT) -> DataFrame:
-    """``keep`` plus the 15 per-read features."""
-    logs = {p: log_dwell(f"{p}_dwell") for p in ["minus1", "central", "plus1"]}
-    named = {f"{p}_log_dwell": c for p, c in logs.items()}
-    for f in FLANKS:
-        named[f"dwell_contrast_{f}"] = logs["central"] - logs[f]
-        for kind in ["sd", "mean"]:
-            named[f"{kind}_contrast_{f}"] = F.col(f"central_signal_{kind}") - F.col(
-                f"{f}_signal_{kind}"
-            )
-    return df.select(
-        *keep, *[named.get(c, F.col(c)).alias(c) for c in READ_FEATURES]
-    )
+def is_bad_sequence():
+    return ~F.coalesce(F.col("sequence").rlike(SEQUENCE_PATTERN), F.lit(False))
 
 
 def inspect_reads(df: DataFrame, max_rows: int):
-    """One job over keys and sequence: (rows, a bad sequence, large sites)."""
-    bad = ~F.coalesce(F.col("sequence").rlike(SEQUENCE_PATTERN), F.lit(False))
-    shown = F.coalesce(F.col("sequence"), F.lit("null"))
-    per_site = df.groupBy(*SITE_KEYS).agg(
-        F.count("*").alias("n"), F.min(F.when(bad, shown)).alias("bad")
-    )
-    return per_site.agg(
+    """One job over keys and sequences: rows, bad rows, large sites.
+
+    Sequences are tested once per site, after rows have been counted.
+    """
+    counts = df.groupBy(*SITE_KEYS, "sequence").agg(F.count("*").alias("n"))
+    return counts.agg(
         F.sum("n").alias("rows"),
-        F.min("bad").alias("bad_sequence"),
+        F.count_if(is_bad_sequence()).alias("bad_sequences"),
         F.count_if(F.col("n") > max_rows).alias("large_sites"),
     ).first()
 
@@ -165,7 +149,7 @@ def large_site_statistics(
     clean = df.select(
         *SITE_CONTEXT, *[present(c).alias(c) for c in features]
     )
-    simple = [F.min("sequence").alias("sequence"), F.min("n_reads").alias("n_reads")]
+    simple = [F.min("n_reads").alias("n_reads")]
     for c in features:
         simple += [
             F.avg(c).alias(f"{c}_mean"),
@@ -173,9 +157,20 @@ def large_site_statistics(
             F.min(c).alias(f"{c}_min"),
             F.max(c).alias(f"{c}_max"),
         ]
-    joined = grouped_quantiles(
-        clean, SITE_KEYS, features, list(QUANTILES.values()), simple, value_limit
+    sequences = (
+        clean.groupBy(*SITE_KEYS, "sequence")
+        .agg(F.count("*").alias("_rows"))
+        .groupBy(*SITE_KEYS)
+        .agg(F.min(F.struct("sequence", "_rows")).getField("sequence").alias("sequence"))
     )
+    joined = grouped_quantiles(
+        clean.drop("sequence"),
+        SITE_KEYS,
+        features,
+        list(QUANTILES.values()),
+        simple,
+        value_limit,
+    ).join(sequences, SITE_KEYS)
     named = {c: F.col(c) for c in statistic_columns(features) if c in joined.columns}
     for c in features:
         for i, q in enumerate(QUANTILES):
@@ -209,12 +204,14 @@ def build_features(
     found = inspect_reads(df, max_rows)
     if validate and not found["rows"]:
         raise ValueError("The input has no rows.")
-    if validate and found["bad_sequence"] is not None:
+    if validate and found["bad_sequences"]:
+        example = df.filter(is_bad_sequence()).select("sequence").first()
         raise ValueError(
-            "Expected 7-base sequences over A/C/G/T; "
-            f"got {found['bad_sequence']!r}."
+            f"Expected 7-base sequences over A/C/G/T; got {example['sequence']!r}."
         )
-    reads = df.select(*FEATURE_INPUT).dropna(subset=SITE_KEYS)
+    reads = df.select(*FEATURE_INPUT).filter(
+        F.col(SITE_KEYS[0]).isNotNull() & F.col(SITE_KEYS[1]).isNotNull()
+    )
 
     def with_features(rows):
         rows = read_features(rows)

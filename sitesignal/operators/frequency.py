@@ -98,7 +98,7 @@ def motif_summary(sites: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
     """(value, rows), most frequent first; all values or the first ``n``."""
     counts = (
-        df.dropna(subset=[column])
+        df.filter(F.col(column).isNotNull())
         .groupBy(column)
         .agg(F.count("*").alias("rows"))
         .orderBy(F.desc("rows"), column)

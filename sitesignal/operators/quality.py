@@ -14,23 +14,19 @@ CHECKS = {
 }
 
 
-def _conflict(column):
-    """Two values, or a value and a null, within a group."""
-    nulls = F.count_if(F.col(column).isNull())
-    two = F.coalesce(F.min(column) != F.max(column), F.lit(False))
-    return two | ((nulls > 0) & (nulls < F.count("*")))
-
-
 def _site_checks(reads):
+    """Per site: is its metadata constant, mismatches, stored and real coverage.
+
+    Rows are first counted per site and metadata; a site with more than one
+    such row has a conflict, whichever column differs, null included.
+    """
     metadata = [c for c in SITE_METADATA if c in reads.columns]
-    conflict = F.lit(False)
-    for column in metadata:
-        conflict = conflict | _conflict(column)
+    combinations = reads.groupBy(*SITE_KEYS, *metadata).agg(F.count("*").alias("rows"))
     mismatch = ~F.col("central_5mer").eqNullSafe(central_kmer())
-    return reads.groupBy(*SITE_KEYS).agg(
-        conflict.alias("metadata_conflict"),
-        F.count_if(mismatch).alias("kmer_mismatches"),
-        F.count("*").alias("observed_reads"),
+    return combinations.groupBy(*SITE_KEYS).agg(
+        (F.count("*") > 1).alias("metadata_conflict"),
+        F.coalesce(F.sum(F.when(mismatch, F.col("rows"))), F.lit(0)).alias("kmer_mismatches"),
+        F.sum("rows").alias("observed_reads"),
         F.min("n_reads").alias("stored_n_reads"),
     )
 

@@ -257,6 +257,7 @@ def _ranked(df, keys, columns, probs, large, max_rows, bounded):
     done = targets.filter(F.col("_lo") >= F.col("_hi")).unionByName(
         pick(rest, listed, "_value", "_value", "_value")
     )
+    done, _, _ = settle(done)
     below = F.max(F.when(F.col("_upper") == 0, F.col("_lo")))
     above = F.max(F.when(F.col("_upper") == 1, F.col("_lo")))
     frac = F.max("_frac")

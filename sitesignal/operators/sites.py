@@ -4,28 +4,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal.functions import is_drach, present
+from sitesignal.operators.joins import validated_join
 from sitesignal.schema import CENTRAL_SIGNALS, SITE_KEYS, SITE_METADATA
 
 
 def site_table(reads: DataFrame) -> DataFrame:
     """One row per site with its metadata.
 
-    Metadata is constant within a site (``quality.metadata_conflicts``), so the
-    smallest value is the value, and rows of a site are combined before the
-    shuffle.
+    Metadata is constant within a site (``quality.metadata_conflicts``); if it
+    is not, the smallest combination is used.  Reads are first counted per
+    site and metadata by hashing, so that the aggregate over texts, for which
+    Spark sorts, sees about one row per site and not one per read.
     """
     metadata = [c for c in SITE_METADATA if c in reads.columns]
-    return reads.groupBy(*SITE_KEYS).agg(*[F.min(c).alias(c) for c in metadata])
+    combinations = reads.groupBy(*SITE_KEYS, *metadata).agg(F.count("*").alias("_rows"))
+    return (
+        combinations.groupBy(*SITE_KEYS)
+        .agg(F.min(F.struct(*metadata, "_rows")).alias("_site"))
+        .select(*SITE_KEYS, *[F.col(f"_site.{c}") for c in metadata])
+    )
 
 
 def labelled(df: DataFrame) -> DataFrame:
     """Rows that have a label."""
-    return df.filter(present("label").isNotNull())
+    return df.filter(F.col("label").isNotNull() & ~F.isnan("label"))
 
 
 def with_gene(df: DataFrame) -> DataFrame:
     """Rows that have a gene id."""
-    return df.dropna(subset=["gene_id"])
+    return df.filter(F.col("gene_id").isNotNull())
 
 
 def unexpected_labels(df: DataFrame) -> DataFrame:
@@ -76,8 +83,6 @@ def site_means(
         return (
             labelled(reads).groupBy(*SITE_KEYS).agg(*means, F.min("label").alias("label"))
         )
-    from sitesignal.operators.joins import validated_join
-
     return validated_join(
         reads.groupBy(*SITE_KEYS).agg(*means),
         labels.select(*SITE_KEYS, "label"),

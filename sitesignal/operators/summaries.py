@@ -16,11 +16,16 @@ COVERAGE_CUTOFFS = [5, 10, 20]
 
 def dataset_summary(reads: DataFrame) -> DataFrame:
     """One row: reads, sites, transcripts, genes, unlabelled sites and reads."""
-    per_site = reads.groupBy(*SITE_KEYS).agg(
-        F.count("*").alias("reads"),
-        F.count_if(present("label").isNull()).alias("unlabelled"),
+    label = present("label")
+    # One row per site and metadata by hashing, then one per site.
+    distinct = reads.groupBy(*SITE_KEYS, "gene_id", label.alias("label")).agg(
+        F.count("*").alias("reads")
+    )
+    per_site = distinct.groupBy(*SITE_KEYS).agg(
+        F.sum("reads").alias("reads"),
+        F.sum(F.when(F.col("label").isNull(), F.col("reads"))).alias("unlabelled"),
         F.min("gene_id").alias("gene_id"),
-        F.min(present("label")).alias("label"),
+        F.min("label").alias("label"),
     )
     return per_site.agg(
         F.coalesce(F.sum("reads"), F.lit(0)).alias("site_read_observations"),
@@ -151,7 +156,7 @@ def coverage_below(sites: DataFrame, cutoffs=COVERAGE_CUTOFFS) -> DataFrame:
 def group_sizes(df: DataFrame, key: str) -> DataFrame:
     """(key, n_sites), largest first; rows without the key are left out."""
     return (
-        df.dropna(subset=[key])
+        df.filter(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.count("*").alias("n_sites"))
         .orderBy(F.desc("n_sites"), key)
@@ -175,7 +180,7 @@ def transcript_labels(labels: DataFrame) -> DataFrame:
     """
     label = present("label")
     return (
-        labels.dropna(subset=["transcript_id"])
+        labels.filter(F.col("transcript_id").isNotNull())
         .groupBy("transcript_id", label.alias("label"))
         .agg(F.count("*").alias("n"))
         .groupBy("transcript_id")

@@ -1,8 +1,6 @@
 import gzip
 import json
 import os
-import subprocess
-import sys
 
 import pyarrow.parquet as pq
 import pytest
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from sitesignal.operators.joins import attach_labels, orphan_labels, unlabelled_sites, validated_join
 from sitesignal.plans.ingest import audit_path, ingest
 from sitesignal.plans.ingest_job import main
-from sitesignal.schema import LABELLED_READS_SCHEMA, READS_SCHEMA, SIGNALS
+from sitesignal.schema import LABELLED_READS_SCHEMA, READS_SCHEMA
 from sitesignal.sources.labels import read_labels
 from sitesignal.sources.reads import preview, read_reads
 from sitesignal.sources.signals import (

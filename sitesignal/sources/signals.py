@@ -124,8 +124,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     Adds transcript_id, transcript_position, sequence, reads
     (array<array<double>>) and ``reason``, null for a good line.
     """
+    # A filter on the result would be pushed below this projection with a copy
+    # of the decoder for every place it is used in.  Spark moves no filter past
+    # an expression that depends on the partition, so each line is decoded once.
     decoded = lines.withColumn(
-        "_json", F.from_json("value", SIGNAL_JSON, {"allowSingleQuotes": "false"})
+        "_json",
+        F.when(
+            F.spark_partition_id() >= 0,
+            F.from_json("value", SIGNAL_JSON, {"allowSingleQuotes": "false"}),
+        ),
     )
 
     def entry(column):

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitesignal.llm.langid import identify
+from sitesignal.llm.linededup import dedup_lines
 from sitesignal.llm.packing import pack
+from sitesignal.llm.sharding import shard
+from sitesignal.llm.spots import edited_fingerprints
 from sitesignal.llm.tokens import prefix_token_counts
 
 
@@ -17,12 +21,32 @@ def op1_token_counts(spark, sf_dir):
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op2_sharding(spark, sf_dir):
+    return shard(documents(spark, sf_dir))
+
+
+def op3_language(spark, sf_dir):
+    return identify(documents(spark, sf_dir))
+
+
+def op4_fingerprints(spark, sf_dir):
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op5_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "removed_lines")
+
+
 LLM_QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_sharding": op2_sharding,
+    "op3_language": op3_language,
+    "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
+    "op6_line_dedup": op6_line_dedup,
 }
 LLM_ORACLE: dict[str, str] = {}

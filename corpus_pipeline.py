@@ -1,11 +1,45 @@
-"""The corpus pipeline: from raw documents to packed sequences."""
+"""The corpus pipeline: from raw documents to packed sequences.
+
+Each stage takes what the one before kept. All but the last return the columns
+of ``documents``.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from sitesignal.llm.common import shared_folder
+from sitesignal.llm.linededup import dedup_lines
+from sitesignal.llm.mixing import mix
+from sitesignal.llm.neardup import drop_near_duplicates
 from sitesignal.llm.packing import pack
+from sitesignal.llm.rules import judge
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that pass all quality rules."""
+    return judge(docs).where("kept").select(*docs.columns)
+
+
+def line_dedup(spark, docs, sf_dir):
+    """Texts without later repeated runs of lines; what is emptied by that goes.
+
+    A full copy of an earlier document is one repeated run, so it goes here.
+    """
+    out = dedup_lines(docs).where((F.size("removed_lines") == 0) | (F.col("text") != ""))
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """One document of each class of near-duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def mixing(spark, docs, sf_dir):
+    """Documents sampled so that tempered shares of sources, languages and topics are met."""
+    return mix(docs).where("sampled").select(*docs.columns)
 
 
 def packing(spark, docs, sf_dir):
@@ -13,15 +47,21 @@ def packing(spark, docs, sf_dir):
     return pack(docs)
 
 
-STAGES = [("packing", packing)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+ORACLE_SQL = None  # tokens and near-duplicates are beyond SQL; see tests/llm/test_pipeline.py
 
 
 def run(spark, sf_dir):
-    """Apply the stages to ``documents``, each written and read again."""
+    """Apply the stages to ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark).rstrip('/')}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

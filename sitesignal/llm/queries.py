@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from sitesignal.llm.langid import identify
 from sitesignal.llm.linededup import dedup_lines
+from sitesignal.llm.mixing import mix
+from sitesignal.llm.neardup import near_duplicates
 from sitesignal.llm.packing import pack
+from sitesignal.llm.rules import judge
 from sitesignal.llm.sharding import shard
 from sitesignal.llm.spots import edited_fingerprints
 from sitesignal.llm.tokens import prefix_token_counts
+from sitesignal.llm.toxicity import rate
 
 
 def documents(spark, sf_dir):
@@ -41,6 +45,24 @@ def op6_line_dedup(spark, sf_dir):
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "removed_lines")
 
 
+def op7_mixing(spark, sf_dir):
+    mixed = mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "source", "lang", "topic", "weight", F.round("p", 9).alias("p"), "sampled")
+
+
+def op8_toxicity(spark, sf_dir):
+    return rate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_quality_rules(spark, sf_dir):
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judge(documents(spark, sf_dir)).select("doc_id", *columns)
+
+
+def op10_near_duplicates(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir))
+
+
 LLM_QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -48,5 +70,9 @@ LLM_QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 LLM_ORACLE: dict[str, str] = {}

@@ -20,6 +20,7 @@ ANCHORS = frozenset(
     "au aux avec dans du elle en est et il la le les ne pas pour que qui sur un une "
     "al con del el las lo los no para por se su una y".split()
 )
+SIGNS = "\"'.,;:!?()[]{}<>|/\\-_*#$%&+=~`^@«»“”‘’…–—"
 CHAIN = 3
 GAP = 16
 BLOCKS = 4096
@@ -31,7 +32,7 @@ def _hash(data: bytes) -> int:
 
 def word_code(word: str) -> int:
     """A hash of the word without outer signs, lowest bit set for anchors; 0 for signs alone."""
-    bare = word.strip("\"'.,;:!?()[]{}<>|/\\-_*#$%&+=~`^@«»“”‘’…–—")
+    bare = word.strip(SIGNS)
     if not bare:
         return 0
     return (_hash(bare.encode("utf-8", "surrogatepass")) & ~1) | (bare in ANCHORS)

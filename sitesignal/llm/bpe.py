@@ -68,21 +68,25 @@ def plain_pieces(text: str) -> list[str] | None:
 
 
 class Coder:
-    """Joins what ``make`` gives for the pieces of a text; ``make`` returns bytes."""
+    """Joins what ``make`` gives for the units of a text; ``make`` returns bytes.
+
+    Words with what surrounds them are remembered whole, and so are their units.
+    """
 
     def __init__(self, make):
-        self.make = make
-        self.spaced = Memory(lambda w: make(w if w[0] == "\n" else " " + w))
         self.units = Memory(make)
+        self.spaced = Memory(lambda w: self.by_units(w if w[0] == "\n" else " " + w))
+
+    def by_units(self, text: str) -> bytes:
+        return b"".join(map(self.units.__getitem__, UNIT.findall(text)))
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         words = plain_pieces(text)
         if words is None:
-            return b"".join(map(self.units.__getitem__, UNIT.findall(text)))
-        first = self.units[words[0]]
-        return first + b"".join(map(self.spaced.__getitem__, words[1:]))
+            return self.by_units(text)
+        return self.by_units(words[0]) + b"".join(map(self.spaced.__getitem__, words[1:]))
 
 
 @lru_cache(maxsize=2)
@@ -134,36 +138,29 @@ class PrefixCounter:
         for i, merge in enumerate(data["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.rank[as_bytes(a), as_bytes(b)] = i
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.coder = Coder(self.piece_steps)
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """Plain BPE of a few bytes."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        rank, none = self.rank, len(self.rank)
-        while len(parts) > 1:
-            ranks = [rank.get(p, none) for p in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == none:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i < len(ranks) and ranks[i] == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
+        #: How each token is merged: left part, right part, rank.
+        self.made = {a + b: (a, b, i) for (a, b), i in self.rank.items()}
+        self.coder = Coder(self.unit_steps)
 
     def compatible(self, a: bytes, b: bytes) -> bool:
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return found
+        """Does the code of ``a + b`` consist of the tokens a and b.
+
+        Their merges are undone from the last to the first. In between, the part
+        that ends a and the part that begins b lie side by side; if these had a
+        merge of an earlier rank than the one just undone, it would have come first.
+        """
+        rank, made = self.rank, self.made
+        before = len(rank)
+        while True:
+            if rank.get((a, b), before) < before:
+                return False
+            left, right = made.get(a), made.get(b)
+            if left is None and right is None:
+                return True
+            if right is not None and (left is None or right[2] >= left[2]):
+                b, before = right[0], right[2] + 1  # of equal merges the left one comes first
+            else:
+                a, before = left[1], left[2]
 
     def counts(self, word: str) -> list[int]:
         """Tokens of each prefix of one word, by its code points, from 0 on."""
@@ -207,13 +204,10 @@ class PrefixCounter:
             base, tail = blank[-2] + self.counts(space[-1])[-1], self.counts(word)[1:]
         return blank + [base + n for n in tail]
 
-    def piece_steps(self, piece: str) -> bytes:
-        """How each further code point of a piece changes its count, as signed bytes."""
-        steps = array("b")
-        for unit in UNIT.findall(piece):
-            counts = self.unit_counts(unit)
-            steps.extend(b - a for a, b in zip(counts, counts[1:], strict=False))
-        return steps.tobytes()
+    def unit_steps(self, unit: str) -> bytes:
+        """How each further code point of a unit changes its count, as signed bytes."""
+        counts = self.unit_counts(unit)
+        return array("b", [b - a for a, b in zip(counts, counts[1:], strict=False)]).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The steps of a whole text; their sum over a prefix is the prefix's exact count."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitesignal.llm.common import settle
 
 SWEEPS = 10
+SETTLED_EVERY = 5
 TEMPER = 0.7
 #: Categories kept apart in each marginal; lighter ones are pooled.
 MOST = {"source": 64, "lang": 32}
@@ -55,11 +56,13 @@ def raked_cells(weights: DataFrame, targets: dict[str, dict[str, float]] | None,
         norm = F.sum(F.col(f"{key}_want") / F.col("__n")).over(everything)
         cells = cells.withColumn(f"{key}_want", F.col(f"{key}_want") / norm)
     cells = cells.withColumn("__r", F.col("__w") / F.col("__total"))
-    for _ in range(sweeps):
+    for sweep in range(sweeps):
+        if sweep % SETTLED_EVERY == 0:  # keeps the plan short
+            cells = settle(cells).coalesce(1)
         for key in keys:
-            share = F.sum("__r").over(over[key])
-            scaled = F.when(share > 0, F.col("__r") * F.col(f"{key}_want") / share).otherwise(0.0)
-            cells = cells.withColumn("__r", scaled)
+            cells = cells.withColumn("__s", F.sum("__r").over(over[key]))
+            scaled = F.col("__r") * F.col(f"{key}_want") / F.col("__s")
+            cells = cells.withColumn("__r", F.when(F.col("__s") > 0, scaled).otherwise(0.0))
     factor = F.col("__r") * F.col("__total") / F.col("__w")
     cells = cells.withColumn("__f", factor)
     return cells.select(*keys, (F.col("__f") / F.max("__f").over(everything)).alias("__p"))

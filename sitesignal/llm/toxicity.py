@@ -14,7 +14,8 @@ from sitesignal.llm.spots import SIGNS
 
 BUCKETS = 1 << 18
 TERMS = 512
-LEAST_TEXTS = 5
+#: Twice the log-likelihood ratio; chance alone gets there once in two million terms.
+LEAST_EVIDENCE = 25.0
 SAMPLE_ROWS = 20_000
 FACTORS = 6
 STEPS = 200
@@ -98,9 +99,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, term
     """Learn from documents with a non-null ``toxic`` label.
 
     Equal texts count once, with their mean label. The terms are the ``terms``
-    hash buckets most associated with the label (chi square with a sign for
-    the positive side, in at least five texts), counted over all labelled texts. The machine is
-    fitted on at most ``sample_rows`` of them, those with the smallest hashes.
+    hash buckets with the most evidence for or against the label, if it is beyond
+    chance, counted over all labelled texts. The machine is fitted on at most
+    ``sample_rows`` of them, those with the smallest hashes.
     With no labelled text the score is a constant.
     """
     labels = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -127,9 +128,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, term
     seen = rows.select("y", F.explode("found").alias("term")).groupBy("term").agg(
         F.count("*").alias("n"), F.sum("y").alias("y")
     )
-    rate = F.lit(positive / n)
-    gain = (F.col("y") - F.col("n") * rate) / F.sqrt(F.col("n") * rate + 1e-9)
-    best = seen.where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc(F.abs(gain)), "term").limit(terms).collect()
+    rate = min(max(positive / n, 1e-6), 1 - 1e-6)
+    hits, rest = F.col("y"), F.col("n") - F.col("y")
+    evidence = 2 * (
+        F.when(hits > 0, hits * F.log(hits / (F.col("n") * rate))).otherwise(0.0)
+        + F.when(rest > 0, rest * F.log(rest / (F.col("n") * (1 - rate)))).otherwise(0.0)
+    )
+    seen = seen.withColumn("evidence", evidence).where(F.col("evidence") >= LEAST_EVIDENCE)
+    best = seen.orderBy(F.desc("evidence"), "term").limit(terms).collect()
     machine = Machine(np.array([r["term"] for r in best], np.int64))
 
     share = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))

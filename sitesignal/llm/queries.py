@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from sitesignal.llm.langid import identify
 from sitesignal.llm.linededup import dedup_lines
-from sitesignal.llm.mixing import mix
+from sitesignal.llm.mixing import SWEEPS, TEMPER, TOPIC, mix
 from sitesignal.llm.neardup import near_duplicates
 from sitesignal.llm.packing import pack
-from sitesignal.llm.rules import judge
+from sitesignal.llm.rules import RULES, STOP_WORDS, judge
 from sitesignal.llm.sharding import shard
 from sitesignal.llm.spots import edited_fingerprints
 from sitesignal.llm.tokens import prefix_token_counts
@@ -75,4 +75,72 @@ LLM_QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_near_duplicates": op10_near_duplicates,
 }
-LLM_ORACLE: dict[str, str] = {}
+_STOP = "', '".join(STOP_WORDS)
+
+QUALITY_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+  FROM documents),
+places AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+windows AS (
+  SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM places
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM windows WHERE c IS NOT NULL) AS x
+  WHERE n > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice CROSS JOIN (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    len(list_filter(w, lambda x: x IN ('{_STOP}'))) AS n_stop_words,
+    len(list_filter(l, lambda x: regexp_matches(x, '^\\s*[-*•]'))) AS n_list_lines,
+    len(list_filter(l, lambda x: regexp_matches(x, '(…|[.]{{3}})\\s*$'))) AS n_open_lines,
+    len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_capitals,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT ({' OR '.join(
+    f"coalesce({side}, false)"
+    for r in RULES
+    for side in ([f"{r.value} < {r.least}"] if r.least is not None else [])
+    + ([f"{r.value} > {r.most}"] if r.most is not None else [])
+  )}) AS kept
+FROM m
+"""
+
+
+def mixing_sql() -> str:
+    """The sweeps written out, one table after the other."""
+    names = ("source", "lang", "topic")
+    wants = ", ".join(f"power(sum(w) OVER (PARTITION BY {n}) / sum(w) OVER (), {TEMPER}) AS want_{n}, count(*) OVER (PARTITION BY {n}) AS n_{n}" for n in names)
+    norms = ", ".join(f"want_{n} / sum(want_{n} / n_{n}) OVER () AS want_{n}" for n in names)
+    steps, at = [], "r0"
+    for sweep in range(SWEEPS):
+        for n in names:
+            to = f"r{sweep}{n}"
+            keep = ", ".join(["source", "lang", "topic", "w", *(f"want_{x}" for x in names)])
+            steps.append(f"{to} AS (SELECT {keep}, r * want_{n} / sum(r) OVER (PARTITION BY {n}) AS r FROM {at})")
+            at = to
+    return f"""
+WITH rows AS (
+  SELECT doc_id, source, lang, CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT) AS weight,
+    {TOPIC} AS topic,
+    CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u
+  FROM documents),
+cells AS (SELECT source, lang, topic, CAST(sum(weight) AS DOUBLE) AS w FROM rows GROUP BY ALL),
+wanted AS (SELECT source, lang, topic, w, {wants} FROM cells WHERE w > 0),
+r0 AS (SELECT source, lang, topic, w, {norms}, w / sum(w) OVER () AS r FROM wanted),
+{", ".join(steps)},
+p AS (SELECT source, lang, topic, (r / w) / max(r / w) OVER () AS p FROM {at})
+SELECT doc_id, rows.source, rows.lang, rows.topic, weight, round(p.p, 9) AS p, u < p.p AS sampled
+FROM rows JOIN p ON p.source = rows.source AND p.lang = rows.lang AND p.topic = rows.topic
+"""
+
+
+LLM_ORACLE: dict[str, str] = {"op7_mixing": mixing_sql(), "op9_quality_rules": QUALITY_SQL}

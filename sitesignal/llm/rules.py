@@ -48,7 +48,7 @@ def measures() -> list[tuple[str, str]]:
     words = "', '".join(STOP_WORDS)
     return [
         ("_t", "coalesce(text, '')"),
-        ("_b", "btrim(_t, ' \\t\\n\\u000B\\f\\r')"),
+        ("_b", "btrim(_t, ' \\t\\n\\u000B\\u000C\\r')"),
         ("_w", f"if(_b = '', cast(array() as array<string>), split(_b, '{SPACE}+', -1))"),
         ("_l", "filter(split(_t, '\\n', -1), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"),
         ("n_words", "cast(size(_w) as bigint)"),

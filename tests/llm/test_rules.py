@@ -33,7 +33,7 @@ def check(docs):
 def test_odd_documents(spark, odd_docs, no_docs):
     rows = check(odd_docs)
     assert len(rows) == odd_docs.count() and set(odd_docs.columns) <= set(rows[0].asDict())
-    texts = ["a a a a", "a b c a b c", "x\ty\x0bz q\x1c r", "a b\n\na b\n \n", "😀 #é | <x>\r\n", " lead trail ", "a b a b a b", "one", "one two"]
+    texts = ["a a a a", "a b c a b c", "x\ty\x0bz q\x1c r", "a b\n\na b\n \n", "😀 #é | <x>\r\n", " lead trail ", "f of\x0cfx f", "\x0c\x0b of \x0c", "a b a b a b", "one", "one two"]
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     assert judge(no_docs).count() == 0 and judge(odd_docs, RULES[:0]).where("kept").count() == odd_docs.count()
 
@@ -45,3 +45,12 @@ def test_documents(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     good = judge(docs).join(labels, "doc_id").where("quality = 1 and n_words >= 50")
     assert good.where("kept").count() >= 0.97 * good.count()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_equals_its_sql(spark):
+    from checks.verify import compare, connect
+    from sitesignal.llm.queries import LLM_ORACLE, LLM_QUERIES
+
+    for name in LLM_ORACLE:
+        assert compare(LLM_QUERIES[name](spark, DATA), connect(DATA), LLM_ORACLE[name]) is None

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal.llm.bpe import Memory
-from sitesignal.llm.common import map_batches, settle
+from sitesignal.llm.common import arrow_rows, map_batches, settle
 from sitesignal.llm.spots import SIGNS
 
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, BAND_ROWS = 20, 5
 REGISTERS = BANDS * BAND_ROWS
+PAIRS_AT_ONCE = 256
 NO_ID = (1 << 63) - 1
 
 _U = np.uint64
@@ -205,6 +206,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """See ``_text_classes``; rows with two shingle sets travel in small batches."""
+    with arrow_rows(docs.sparkSession, PAIRS_AT_ONCE):
+        return _text_classes(docs, threshold)
+
+
+def _text_classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Classes of different texts: (tid, rep, root) of those in a class of several texts, and all texts.
 
     Texts that share a band form a bucket. Its pivot is the text with the most

@@ -25,7 +25,9 @@ from sitesignal.operators import summaries as m  # noqa: E402
 from sitesignal.operators.baselines import fit_kmer_baselines  # noqa: E402
 from sitesignal.operators.features import build_features  # noqa: E402
 from sitesignal.plans.ingest import ingest  # noqa: E402
+from sitesignal.plans.profile import profile  # noqa: E402
 from sitesignal.sources.reads import read_reads, write_reads  # noqa: E402
+from sitesignal.sources.storage import Storage  # noqa: E402
 
 REPEATS = 3
 
@@ -43,6 +45,7 @@ def main():
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
@@ -74,6 +77,7 @@ def main():
         ),
         "motif_summary": lambda i: consume(f.motif_summary(s.site_table(reads))),
         "read_boxes": lambda i: consume(d.box_stats(s.labelled(reads))),
+        "profile": lambda i: [consume(t) for t in profile(reads).values()],
         "density": lambda i: consume(d.density_by_label(reads)),
         "compare": lambda i: consume(c.agreement_summary(c.site_pairs(a, b))),
     }
@@ -86,6 +90,7 @@ def main():
             taken.append(time.perf_counter() - start)
         times[name] = round(statistics.median(taken), 3)
         print(name, [round(t, 2) for t in taken], file=sys.stderr, flush=True)
+    Storage(spark).delete(folder)
     spark.stop()
     print(
         json.dumps(

@@ -212,7 +212,20 @@ def signal_lines(spark, sf_dir, defects: bool = True) -> DataFrame:
             7: F.regexp_replace(good, r"\[\[[^,]*,", "[[NaN,"),
             8: F.concat(good, F.lit(" {}")),
             9: F.substr(good, F.lit(1), F.length(good) - 3),
+            10: F.to_json(
+                F.create_map(
+                    transcript,
+                    F.create_map(
+                        position,
+                        F.create_map(sequence, values),
+                        F.concat(position, F.lit("0")),
+                        F.create_map(sequence, values),
+                    ),
+                )
+            ),
         }
+        two = F.create_map(sequence, values, F.concat(F.lit("A"), sequence), values)
+        kinds[11] = F.to_json(F.create_map(transcript, F.create_map(position, two)))
         for kind, bad in kinds.items():
             text = F.when(F.col("transcript_position") % 20 == kind, bad).otherwise(text)
     return sites.select(
@@ -223,6 +236,33 @@ def signal_lines(spark, sf_dir, defects: bool = True) -> DataFrame:
     )
 
 
+def transcript_labels(spark, sf_dir) -> DataFrame:
+    """Sites by supplier: one label for all, two labels, or labels that are missing."""
+    supplier = F.substring("transcript_id", 2, 20).cast("long")
+    odd = F.col("transcript_position") % 2
+    label = (
+        F.when(supplier % 3 == 0, supplier % 2)
+        .when(supplier % 3 == 1, odd)
+        .when(odd == 0, F.lit(1).cast("long"))
+    )
+    sites = reads(spark, sf_dir, coverage=False).select(*SITE_KEYS).distinct()
+    return sites.withColumn("label", label.cast("double"))
+
+
+def broken_label_texts(spark, sf_dir) -> DataFrame:
+    """Label rows of which some miss a key, repeat one or have an unusable label."""
+    key = F.col("l_orderkey")
+    items = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == 1)
+    label = F.lit("0.5")
+    for rest, text in {1: "0.5f", 2: "inf", 3: "1.2", 4: "NA", 5: "-1", 6: "high"}.items():
+        label = F.when(key % 40 == rest, text).otherwise(label)
+    return items.select(
+        F.when(key % 40 == 7, "  ").otherwise(F.concat(F.lit("T"), F.col("l_suppkey").cast("string"))).alias("transcript_id"),
+        F.when(key % 40 == 8, "12.5").otherwise(key.cast("string")).alias("transcript_position"),
+        label.alias("label"),
+    )
+
+
 def label_texts(spark, sf_dir) -> DataFrame:
     """Label rows as text: two of three sites, and some without a site."""
     orders = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 3 != 0)

@@ -72,9 +72,11 @@ lines AS (
       WHEN 6 THEN 'expected a non-empty list of reads with 9 values each'
       WHEN 7 THEN 'missing or non-finite value'
       WHEN 8 THEN 'text after the JSON value'
-      WHEN 9 THEN 'not valid JSON of a site' END AS reason
+      WHEN 9 THEN 'not valid JSON of a site'
+      WHEN 10 THEN 'expected exactly one position'
+      WHEN 11 THEN 'expected exactly one sequence' END AS reason
   FROM o),
-good AS (SELECT * FROM lines WHERE line_id % 20 >= 10),
+good AS (SELECT * FROM lines WHERE line_id % 20 >= 12),
 labels_table AS (
   SELECT CASE WHEN o_orderkey % 10 NOT IN (1, 2) THEN concat('G', CAST(o_custkey % 37 AS VARCHAR)) END AS gene_id,
     concat('T', CAST(o_custkey AS VARCHAR)) AS transcript_id,
@@ -286,6 +288,9 @@ def overview(name):
 FROM (SELECT DISTINCT {KEYS}, n_reads, gene_id, label FROM {name})"""
 
 
+TRANSCRIPT_LABELS = """(SELECT transcript_id, CASE WHEN s % 3 = 0 THEN (s % 2)::DOUBLE WHEN s % 3 = 1 THEN (transcript_position % 2)::DOUBLE WHEN transcript_position % 2 = 0 THEN 1.0::DOUBLE END AS label FROM (SELECT *, substr(transcript_id, 2)::BIGINT AS s FROM sites))"""
+
+
 def build():
     ingested = f"""SELECT e.*, l.gene_id, l.label FROM ({exploded("lines")}) e
       LEFT JOIN labels_table l USING ({KEYS})"""
@@ -322,7 +327,7 @@ def build():
         "fil5_sites_with_gene": on_reads(f"SELECT {KEYS}, gene_id FROM sites WHERE gene_id IS NOT NULL"),
         "fil6_disagreements": on_reads(f"SELECT {KEYS}, label_a, label_b FROM comparable WHERE label_a <> label_b ORDER BY transcript_id, transcript_position LIMIT 10"),
         "fil6_all_disagreements": on_reads(f"SELECT {KEYS}, label_a, label_b FROM comparable WHERE label_a <> label_b"),
-        "fil7_complete_transcripts": on_reads("SELECT transcript_id, count(*) AS n_sites, count(DISTINCT label) AS n_distinct_values, count(*) - count(label) AS n_missing_values FROM sites GROUP BY transcript_id HAVING count(*) > 1 AND count(*) = count(label)"),
+        "fil7_complete_transcripts": on_reads("SELECT transcript_id, count(*) AS n_sites, count(DISTINCT label) AS n_distinct_values, count(*) - count(label) AS n_missing_values FROM " + TRANSCRIPT_LABELS + " GROUP BY transcript_id HAVING count(*) > 1 AND count(*) = count(label)"),
         "joi1_sites_with_labels": on_orders(f"SELECT {KEYS}, sequence, substr(sequence, 2, 5) AS central_5mer, n_reads, gene_id, label FROM good LEFT JOIN labels_table USING ({KEYS})"),
         "joi2_shared_sites": on_reads(f"SELECT {KEYS}, label_a, label_b FROM pairs WHERE in_a AND in_b"),
         "joi3_site_means_with_labels": on_reads(f"SELECT {KEYS}, {rounded(CENTRAL)}, label FROM (SELECT {KEYS}, {MEANS} FROM reads GROUP BY {KEYS}) LEFT JOIN (SELECT DISTINCT {KEYS}, label FROM a) USING ({KEYS})"),
@@ -341,9 +346,10 @@ def build():
         "agg13_sites_per_transcript": on_reads("SELECT transcript_id, count(*) AS n_sites FROM sites GROUP BY transcript_id"),
         "agg14_size_histogram": on_reads("SELECT n AS group_size, count(*) AS groups FROM (SELECT count(*) AS n FROM sites GROUP BY transcript_id) GROUP BY n"),
         "agg15_transcript_labels": on_reads("SELECT transcript_id, count(*) AS n_sites, count(DISTINCT label) AS n_distinct_values, count(*) - count(label) AS n_missing_values FROM graded_sites GROUP BY transcript_id"),
-        "agg15_constant_label_share": on_reads(f"SELECT count(*) AS eligible_transcripts, {r('100.0 * count(*) FILTER (k = 1) / nullif(count(*), 0)', 'constant_label_pct')} FROM (SELECT count(DISTINCT label) AS k FROM sites GROUP BY transcript_id HAVING count(*) > 1 AND count(*) = count(label))"),
+        "agg15_constant_label_share": on_reads(f"SELECT count(*) AS eligible_transcripts, {r('100.0 * count(*) FILTER (k = 1) / nullif(count(*), 0)', 'constant_label_pct')} FROM (SELECT count(DISTINCT label) AS k FROM {TRANSCRIPT_LABELS} GROUP BY transcript_id HAVING count(*) > 1 AND count(*) = count(label))"),
         "agg16_kmer_crosstab": on_reads("SELECT * FROM counts", counts),
         "agg16_open_crosstab": on_reads("SELECT * FROM counts", graded_counts.format("central_5mer")),
+        "agg16_close_labels": on_reads("SELECT central_5mer, count(*) FILTER (transcript_position % 2 = 0) AS label_0_1234567, count(*) FILTER (transcript_position % 2 = 1) AS label_0_1234568 FROM sites GROUP BY central_5mer"),
         "agg16_label_crosstab": on_reads(" UNION ALL ".join(f"SELECT {v}::DOUBLE AS label_a, count(*) FILTER (label_a = {v} AND label_b = 0) AS label_0, count(*) FILTER (label_a = {v} AND label_b = 1) AS label_1 FROM comparable" for v in [0, 1])),
         "agg17_column_percentages": on_reads(f"SELECT sequence, {percentages(['label_0', 'label_1'], 'counts')} FROM counts", counts),
         "agg18_motif_summary": on_reads(f"SELECT central_5mer, count(*) FILTER (label = 0) AS unmodified_sites, count(*) FILTER (label = 1) AS modified_sites, count(*) FILTER (label IN (0, 1)) AS total_sites, {r('count(*) FILTER (label = 1)::DOUBLE / nullif(count(*) FILTER (label IN (0, 1)), 0)', 'positive_fraction')} FROM graded_sites GROUP BY central_5mer"),
@@ -356,17 +362,18 @@ def build():
         "agg23_overlap": on_reads("SELECT count(*) FILTER (in_a) AS sites_a, count(*) FILTER (in_b) AS sites_b, count(*) FILTER (in_a AND in_b) AS shared_sites, count(*) FILTER (in_a AND NOT in_b) AS only_a, count(*) FILTER (in_b AND NOT in_a) AS only_b, round(100.0 * count(*) FILTER (in_a AND in_b) / count(*) FILTER (in_a), 2) AS a_in_b_pct, round(100.0 * count(*) FILTER (in_a AND in_b) / count(*) FILTER (in_b), 2) AS b_in_a_pct, round(100.0 * count(*) FILTER (in_a AND in_b) / count(*), 2) AS jaccard_pct FROM pairs"),
         "agg24_agreement": on_reads("SELECT count(*) AS comparable_sites, (SELECT count(*) FROM pairs WHERE in_a AND in_b) - count(*) AS missing_either_label, count(*) FILTER (label_a = label_b) AS matching_labels, count(*) FILTER (label_a <> label_b) AS disagreeing_labels, round(100.0 * count(*) FILTER (label_a = label_b) / count(*), 2) AS agreement_pct, count(*) FILTER (label_a = 1 OR label_b = 1) AS positive_in_either, count(*) FILTER (label_a = 1 AND label_b = 1) AS positive_in_both FROM comparable"),
         "agg26_overview": on_reads(f"{overview('a')} UNION ALL {overview('b')}"),
-        "agg27_ingest_audit": on_orders(f"""SELECT 'parsed_sites' AS metric, count(*) AS value FROM good
-          UNION ALL SELECT 'parsed_read_rows', sum(n_reads)::BIGINT FROM good
-          UNION ALL SELECT 'sites_outside_expected_DRACH_motif', count(*) FROM good
+        "agg27_ingest_audit": on_orders(f"""SELECT 'parsed_sites' AS metric, count(*) AS value FROM lines
+          UNION ALL SELECT 'parsed_read_rows', sum(n_reads)::BIGINT FROM lines
+          UNION ALL SELECT 'sites_outside_expected_DRACH_motif', count(*) FROM lines
             WHERE NOT regexp_full_match(substr(sequence, 2, 5), '[AGT][AG]AC[ACT]')
           UNION ALL SELECT 'label_rows', count(*) FROM labels_table
-          UNION ALL SELECT 'sites_without_labels', count(*) FROM good ANTI JOIN labels_table USING ({KEYS})
-          UNION ALL SELECT 'labels_without_parsed_sites', count(*) FROM labels_table ANTI JOIN good USING ({KEYS})"""),
+          UNION ALL SELECT 'sites_without_labels', count(*) FROM lines ANTI JOIN labels_table USING ({KEYS})
+          UNION ALL SELECT 'labels_without_parsed_sites', count(*) FROM labels_table ANTI JOIN lines USING ({KEYS})"""),
         "dq1_metadata_conflicts": on_reads(f"SELECT {KEYS} FROM broken_sites WHERE conflict", BROKEN_SITES),
         "dq2_duplicate_reads": on_reads(f"SELECT * FROM {DUPLICATES}"),
         "dq3_kmer_mismatches": on_reads(f"SELECT {KEYS}, read_idx, sequence, central_5mer FROM broken WHERE central_5mer <> substr(sequence, 2, 5)"),
         "dq4_coverage_mismatches": on_reads(f"SELECT {KEYS}, observed_reads, stored_n_reads FROM broken_sites WHERE observed_reads <> stored_n_reads", BROKEN_SITES),
+        "dq5_bad_sequences": on_reads(f"SELECT {KEYS}, count(*) AS n, count(*) AS bad FROM reads WHERE transcript_position % 10 = 3 GROUP BY {KEYS}"),
         "dq7_site_labels": on_reads(f"SELECT DISTINCT {KEYS}, label FROM b"),
         "dq_report": on_reads(f"SELECT 'metadata_conflicts' AS \"check\", count(*) FILTER (conflict) AS failed_rows FROM broken_sites UNION ALL SELECT 'coverage_mismatches', count(*) FILTER (observed_reads <> stored_n_reads) FROM broken_sites UNION ALL SELECT 'kmer_mismatches', count(*) FILTER (central_5mer <> substr(sequence, 2, 5)) FROM broken UNION ALL SELECT 'duplicate_reads', count(*) FROM {DUPLICATES}", BROKEN_SITES),
         "dq_report_clean": "SELECT unnest(['metadata_conflicts', 'coverage_mismatches', 'kmer_mismatches', 'duplicate_reads']) AS \"check\", 0::BIGINT AS failed_rows",
@@ -380,6 +387,7 @@ def build():
         "dst4_read_boxes": on_reads(boxes("reads")),
         "dst5_site_mean_boxes": on_reads(boxes("means"), MEAN_SITES),
         "dst5_graded_boxes": on_reads(boxes("means"), GRADED_MEANS),
+        "dst5_many_label_boxes": on_reads(boxes("means"), f", means AS (SELECT {KEYS}, {MEANS}, transcript_position % 12 / 16::DOUBLE AS label FROM reads GROUP BY {KEYS})"),
         "ent2_features": on_reads(f"SELECT {KEYS}, any_value(n_reads) AS n_reads, {statistics(READ_FEATURES, STATISTICS)}, {SEQUENCE_HOT}, {MOTIF_HOT} FROM {derived()} GROUP BY {KEYS}, sequence, central_5mer"),
         "ent2_features_with_residuals": on_reads(f"SELECT {KEYS}, any_value(n_reads) AS n_reads, {statistics([*READ_FEATURES, *RESIDUALS], STATISTICS)}, {SEQUENCE_HOT}, {MOTIF_HOT} FROM residuals GROUP BY {KEYS}, sequence, central_5mer", BASELINES),
         "ent6_kmer_by_label": on_reads(f"SELECT central_5mer, {percentages(GRADE_NAMES, 'counts')} FROM counts", graded_counts.format("central_5mer")),
@@ -387,4 +395,17 @@ def build():
     }
 
 
+LABEL_CHECKS = """
+WITH given AS (
+  SELECT CASE WHEN k = 7 THEN '  ' ELSE concat('T', l_suppkey) END AS transcript_id,
+    CASE WHEN k = 8 THEN NULL ELSE l_orderkey END AS transcript_position, k
+  FROM (SELECT *, l_orderkey % 40 AS k FROM lineitem WHERE l_linenumber = 1))
+SELECT unnest(['missing', 'blank', 'bad_position', 'bad_label', 'not_finite', 'out_of_range', 'duplicates']) AS "check",
+  unnest([count(*) FILTER (k = 4), count(*) FILTER (k = 7), count(*) FILTER (k = 8), count(*) FILTER (k IN (1, 4, 6)),
+    count(*) FILTER (k = 2), count(*) FILTER (k IN (2, 3, 5)),
+    (SELECT count(*) FROM (SELECT 1 FROM given GROUP BY transcript_id, transcript_position HAVING count(*) > 1))]) AS failed_rows
+FROM given"""
+
 ORACLE = build()
+ORACLE["lab_checks"] = LABEL_CHECKS
+ORACLE["ent2_features_deep_sites"] = ORACLE["ent2_features"]

@@ -12,9 +12,9 @@ from sitesignal.operators import quality as q
 from sitesignal.operators import sites as s
 from sitesignal.operators import summaries as m
 from sitesignal.operators.baselines import add_residuals, fit_kmer_baselines
-from sitesignal.operators.features import build_features
+from sitesignal.operators.features import build_features, site_sizes
 from sitesignal.operators.read_features import read_features
-from sitesignal.plans.ingest import ingest, key_counts, site_counts
+from sitesignal.plans.ingest import ingest
 from sitesignal.schema import (
     AGG_COLUMNS,
     BASELINE_FEATURES,
@@ -71,16 +71,32 @@ def _ingested(spark, sf, max_sites=None):
     return sr.read_reads(spark, output), audit
 
 
-def _long(df):
-    """A row of counts as (metric, value) rows."""
-    pairs = [F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in df.columns]
-    return df.select(F.inline(F.array(*pairs)))
+def _ingest_audit(spark, sf):
+    _, audit = _ingested(spark, sf)
+    counts = [(name, value) for name, value in audit.items() if isinstance(value, int)]
+    return spark.createDataFrame(counts, "metric string, value bigint")
 
 
-def _ingest_audit(spark, sf):
-    sites = _order_sites(spark, sf)
-    matches = key_counts(sites, _order_labels(spark, sf)).drop("repeated")
-    return _long(site_counts(sites)).unionByName(_long(matches))
+def _first_line_with_label(spark, sf):
+    """Lines in an order in which the first one has a label row."""
+    lines = x.signal_lines(spark, sf, defects=False)
+    late = F.when(F.col("line_id") % 3 == 2, 0).otherwise(10**12)
+    return lines.withColumn("line_id", F.col("line_id") + late)
+
+
+def _relabelled_sites(spark, sf, label):
+    return _sites(spark, sf).withColumn("label", F.expr(label))
+
+
+def _many_label_means(spark, sf):
+    reads = x.reads(spark, sf, coverage=False)
+    return s.site_means(reads.withColumn("label", F.expr("transcript_position % 12 / 16D")))
+
+
+def _bad_sequence_sites(spark, sf):
+    reads = x.reads(spark, sf, coverage=False)
+    bad = F.when(F.col("transcript_position") % 10 == 3, "NNNNNNN").otherwise(F.col("sequence"))
+    return site_sizes(reads.withColumn("sequence", bad)).filter("bad > 0")
 
 
 def _text_signals(spark, sf):
@@ -150,12 +166,10 @@ QUERIES = {
         *SITE_KEYS, "sequence", "central_5mer"
     ),
     "par16_site_lookup": lambda k, p: ss.lookup_site(
-        ss.parse_lines(ss.skip_blank_lines(x.signal_lines(k, p, defects=False))).filter(
-            F.col("line_id") % 3 == 2
-        ),
-        _order_labels(k, p),
+        _first_line_with_label(k, p), _order_labels(k, p)
     ).select(*SITE_KEYS, "sequence", "n_reads", "gene_id", "label"),
     # labels
+    "lab_checks": lambda k, p: sl.label_report(x.broken_label_texts(k, p)),
     "lab7_checked_labels": _order_labels,
     # projections
     "prj1_read_features": lambda k, p: rounded(
@@ -179,7 +193,7 @@ QUERIES = {
     "fil6_disagreements": lambda k, p: c.disagreements(_pairs(k, p)),
     "fil6_all_disagreements": lambda k, p: c.disagreements(_pairs(k, p), None),
     "fil7_complete_transcripts": lambda k, p: m.complete_transcripts(
-        m.transcript_labels(_sites(k, p))
+        m.transcript_labels(x.transcript_labels(k, p))
     ),
     # joins
     "joi1_sites_with_labels": lambda k, p: j.attach_labels(
@@ -217,9 +231,16 @@ QUERIES = {
         m.group_sizes(_sites(k, p), "transcript_id")
     ),
     "agg15_transcript_labels": lambda k, p: m.transcript_labels(_graded_sites(k, p)),
-    "agg15_constant_label_share": lambda k, p: rounded(m.constant_label_share(_sites(k, p))),
+    "agg15_constant_label_share": lambda k, p: rounded(
+        m.constant_label_share(x.transcript_labels(k, p))
+    ),
     "agg16_kmer_crosstab": lambda k, p: f.crosstab(_sites(k, p), "sequence"),
     "agg16_open_crosstab": lambda k, p: f.crosstab(_graded_sites(k, p), "central_5mer", None),
+    "agg16_close_labels": lambda k, p: f.crosstab(
+        _relabelled_sites(k, p, "if(transcript_position % 2 = 0, 0.1234567D, 0.1234568D)"),
+        "central_5mer",
+        None,
+    ),
     "agg16_label_crosstab": lambda k, p: c.label_crosstab(_pairs(k, p)),
     "agg17_column_percentages": lambda k, p: rounded(
         f.column_percentages(f.crosstab(_sites(k, p), "sequence"))
@@ -246,6 +267,7 @@ QUERIES = {
         *SITE_KEYS, "read_idx", "sequence", "central_5mer"
     ),
     "dq4_coverage_mismatches": lambda k, p: q.coverage_mismatches(x.broken_reads(k, p)),
+    "dq5_bad_sequences": _bad_sequence_sites,
     "dq7_site_labels": lambda k, p: s.site_labels(x.dataset_b(k, p)),
     "dq_report": lambda k, p: q.quality_report(x.broken_reads(k, p)),
     "dq_report_clean": lambda k, p: q.quality_report(x.reads(k, p, index=True)),
@@ -271,7 +293,13 @@ QUERIES = {
     "dst5_graded_boxes": lambda k, p: rounded(
         d.box_stats(s.site_means(x.graded_reads(k, p)), labels=None)
     ),
+    "dst5_many_label_boxes": lambda k, p: rounded(
+        d.box_stats(_many_label_means(k, p), labels=None)
+    ),
     # whole entry points
+    "ent2_features_deep_sites": lambda k, p: rounded(
+        build_features(x.reads(k, p), value_limit=150)
+    ),
     "ent2_features": lambda k, p: rounded(build_features(x.reads(k, p))),
     "ent2_features_with_residuals": _features_with_residuals,
     "ent6_kmer_by_label": lambda k, p: rounded(f.kmer_by_label(_graded_sites(k, p), "central_5mer")),

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal.functions import central_kmer
-from sitesignal.operators.quantiles import GROUP_VALUE_LIMIT, grouped_quantiles
+from sitesignal.operators.quantiles import counted, in_ranges, ranked, settle, side_by_side
 from sitesignal.operators.read_features import read_features
 from sitesignal.schema import (
     BASELINE_FEATURES,
@@ -13,45 +13,42 @@ from sitesignal.schema import (
     require_columns,
 )
 
-# There are 4**5 motifs over A/C/G/T and one global row.
-MAX_MOTIFS = 4**5 + 1
+# Validated reads have no other motif; there are 4**5 of them.
+KNOWN_MOTIF = r"\A[ACGT]{5}\z"
 
 
-def fit_kmer_baselines(
-    df: DataFrame, features=BASELINE_FEATURES, value_limit: int = GROUP_VALUE_LIMIT
-) -> DataFrame:
+def fit_kmer_baselines(df: DataFrame, features=BASELINE_FEATURES) -> DataFrame:
     """Exact median of each feature per central 5-mer, and over all reads.
 
     Columns ``central_5mer`` and ``features``; the row ``__global__`` is the
-    fallback for motifs that are not in the table.
+    fallback for motifs that are not in the table.  The reads are scanned once:
+    the counts of all reads are sums of those of the motifs.
     """
     require_columns(df, FEATURE_INPUT)
     features = list(features)
     reads = read_features(df, keep=["sequence"]).select(
         central_kmer().alias("central_5mer"), *features
     )
-    medians = [F.get(F.col(f"q_{c}"), F.lit(0)).alias(c) for c in features]
-    by_motif = grouped_quantiles(
-        reads, ["central_5mer"], features, [0.5], value_limit=value_limit
-    ).select("central_5mer", *medians)
-    overall = grouped_quantiles(
-        reads.drop("central_5mer"), [], features, [0.5], value_limit=value_limit
-    ).select(F.lit(GLOBAL_MOTIF).alias("central_5mer"), *medians)
-    return by_motif.unionByName(overall)
+    by_motif = settle(counted(reads, ["central_5mer"], features))
+    overall = by_motif.groupBy("_column", "_value").agg(F.sum("_n").alias("_n"))
+    cells = by_motif.unionByName(overall.withColumn("central_5mer", F.lit(GLOBAL_MOTIF)))
+    medians = ranked(in_ranges(cells, ["central_5mer"]), ["central_5mer"], [0.5])
+    medians = medians.withColumn("_q", F.get("_q", F.lit(0)))
+    return side_by_side(medians, ["central_5mer"], features, [("", "_q")])
 
 
 def add_residuals(reads: DataFrame, kmer_baselines: DataFrame) -> DataFrame:
     """Add ``<feature>_kmer_resid``: the value less its motif's baseline.
 
     A motif without a baseline (or without a value in it) uses the global
-    row.  The table is read once, at most MAX_MOTIFS rows of it; a larger one
-    is no table of 5-mer baselines and is refused.
+    row.  Of the table only motifs over A/C/G/T and the global row are used,
+    so at most 1,025 different rows are looked up.
     """
     require_columns(kmer_baselines, ["central_5mer", *BASELINE_FEATURES])
     wanted = kmer_baselines.select("central_5mer", *BASELINE_FEATURES)
-    rows = wanted.limit(MAX_MOTIFS + 1).collect()
-    if len(rows) > MAX_MOTIFS:
-        raise ValueError(f"A baseline table has at most {MAX_MOTIFS} rows.")
+    usable = F.col("central_5mer").rlike(KNOWN_MOTIF) | (F.col("central_5mer") == GLOBAL_MOTIF)
+    # One row more than there are motifs shows that one of them is repeated.
+    rows = wanted.filter(usable).limit(4**5 + 2).collect()
     if len({r["central_5mer"] for r in rows}) < len(rows):
         raise ValueError("A motif occurs twice in the baseline table.")
     overall = [r for r in rows if r["central_5mer"] == GLOBAL_MOTIF]

@@ -3,9 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesignal.functions import label_group, present
-from sitesignal.operators.frequency import distinct_labels
-from sitesignal.operators.quantiles import GROUP_VALUE_LIMIT, grouped_quantiles
+from sitesignal.functions import label_group, present, strict_double
+from sitesignal.operators.quantiles import counted, in_ranges, ranked
 from sitesignal.operators.sites import labelled
 from sitesignal.schema import CENTRAL_SIGNALS
 
@@ -87,7 +86,9 @@ def density_by_label(
     Two passes over the reads, whatever the number of columns: one for the
     bounds, one for the counts.
     """
-    rows = labelled(reads).select("label", *[present(c).alias(c) for c in columns])
+    rows = labelled(reads).select(
+        strict_double("label").alias("label"), *[present(strict_double(c)).alias(c) for c in columns]
+    )
     values = rows.select(
         "label",
         F.inline(
@@ -147,65 +148,48 @@ def excluded_rows(reads: DataFrame, columns=CENTRAL_SIGNALS) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def box_stats(
-    df: DataFrame,
-    columns=CENTRAL_SIGNALS,
-    labels=(0, 1),
-    value_limit: int = GROUP_VALUE_LIMIT,
-) -> DataFrame:
+def box_stats(df: DataFrame, columns=CENTRAL_SIGNALS, labels=(0, 1)) -> DataFrame:
     """(feature, label, n, low_whisker, q1, median, q3, high_whisker).
 
     ``df`` holds labelled reads or site means.  Whiskers reach the furthest
     value within 1.5 times the interquartile range; values beyond are outliers
-    and not listed.  ``labels=None`` takes every label in use (at most 10).
+    and not listed.  ``labels=None`` takes every label in use, however many.
+    Columns that are no numbers fail.  ``df`` is scanned once, to count values.
     """
-    labels = distinct_labels(df) if labels is None else labels
-    finite = df.filter(F.col("label").isin([float(v) for v in labels])).select(
-        F.col("label").cast("double").alias("label"),
-        *[F.when(F.abs(present(c)) < F.lit(float("inf")), present(c)).alias(c) for c in columns],
-    )
-    stats = grouped_quantiles(
-        finite,
-        ["label"],
-        list(columns),
-        [0.25, 0.5, 0.75],
-        [F.count(c).alias(f"n_{c}") for c in columns],
-        value_limit,
-    )
-    # At most one row per requested label, so the second pass can look it up
-    # without a shuffle.
-    quartiles = ["q1", "median", "q3"]
-    stats = stats.select(
-        "label",
-        *[f"n_{c}" for c in columns],
+    label = strict_double("label")
+    rows = df.select(
+        label.alias("label"),
         *[
-            F.get(F.col(f"q_{c}"), F.lit(i)).alias(f"{q}_{c}")
+            F.when(F.abs(present(strict_double(c))) < F.lit(float("inf")), strict_double(c)).alias(c)
             for c in columns
-            for i, q in enumerate(quartiles)
         ],
     )
-    joined = finite.join(F.broadcast(stats), "label")
-    reach = []
-    for c in columns:
-        span = (F.col(f"q3_{c}") - F.col(f"q1_{c}")) * WHISKER
-        reach += [
-            F.min(F.when(F.col(c) >= F.col(f"q1_{c}") - span, F.col(c))).alias(f"low_{c}"),
-            F.max(F.when(F.col(c) <= F.col(f"q3_{c}") + span, F.col(c))).alias(f"high_{c}"),
-            *[F.max(f"{name}_{c}").alias(f"{name}_{c}") for name in ["n", *quartiles]],
-        ]
-    boxes = joined.groupBy("label").agg(*reach)
-    rows = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.col(f"n_{c}").alias("n"),
-            F.least(f"low_{c}", f"q1_{c}").alias("low_whisker"),
-            *[F.col(f"{q}_{c}").alias(q) for q in quartiles],
-            F.greatest(f"high_{c}", f"q3_{c}").alias("high_whisker"),
+    if labels is not None:
+        rows = rows.filter(F.col("label").isin([float(v) for v in labels]))
+    cells = in_ranges(counted(rows, ["label"], list(columns)), ["label"])
+    quartiles = ["q1", "median", "q3"]
+    stats = ranked(cells, ["label"], [0.25, 0.5, 0.75]).select(
+        "label",
+        "_column",
+        *[F.get("_q", F.lit(i)).alias(q) for i, q in enumerate(quartiles)],
+    )
+    span = (F.col("q3") - F.col("q1")) * WHISKER
+    return (
+        cells.join(stats, ["label", "_column"])
+        .groupBy("label", "_column", *quartiles)
+        .agg(
+            F.sum("_n").alias("n"),
+            F.min(F.when(F.col("_value") >= F.col("q1") - span, F.col("_value"))).alias("_low"),
+            F.max(F.when(F.col("_value") <= F.col("q3") + span, F.col("_value"))).alias("_high"),
+        )
+        .select(
+            F.col("_column").alias("feature"),
+            "label",
+            "n",
+            F.least("_low", "q1").alias("low_whisker"),
+            *quartiles,
+            F.greatest("_high", "q3").alias("high_whisker"),
         )
-        for c in columns
-    ]
-    return boxes.select("label", F.inline(F.array(*rows))).filter(F.col("n") > 0).select(
-        "feature", "label", "n", "low_whisker", *quartiles, "high_whisker"
     )
 
 

@@ -13,12 +13,7 @@ from sitesignal.functions import (
     sequence_one_hot,
 )
 from sitesignal.operators.baselines import add_residuals
-from sitesignal.operators.quantiles import (
-    GROUP_VALUE_LIMIT,
-    grouped_quantiles,
-    large_groups,
-    split_groups,
-)
+from sitesignal.operators.quantiles import given_keys, grouped_quantiles, settle
 from sitesignal.operators.read_features import SITE_CONTEXT, read_features
 from sitesignal.schema import (
     FEATURE_COLUMNS,
@@ -34,36 +29,50 @@ from sitesignal.schema import (
     statistic_columns,
 )
 
+# A task holds at most this many values (reads times features) of one site;
+# the quantiles of larger sites come from counts, by the same formula.
+SITE_VALUE_LIMIT = 600_000
+# Up to this many large sites their keys are broadcast, beyond it joined.
+BROADCAST_SITES = 10_000
+
+
 def is_bad_sequence():
     return ~F.coalesce(F.col("sequence").rlike(SEQUENCE_PATTERN), F.lit(False))
 
 
-def inspect_reads(df: DataFrame, max_rows: int):
-    """One job over keys and sequences: rows, bad rows, large sites.
+def site_sizes(df: DataFrame) -> DataFrame:
+    """(site keys, n, bad): rows of each site and rows with a bad sequence.
 
     Sequences are tested once per site, after rows have been counted.
     """
     counts = df.groupBy(*SITE_KEYS, "sequence").agg(F.count("*").alias("n"))
-    return counts.agg(
-        F.sum("n").alias("rows"),
-        F.count_if(is_bad_sequence()).alias("bad_sequences"),
-        F.count_if(F.col("n") > max_rows).alias("large_sites"),
-    ).first()
+    return counts.groupBy(*SITE_KEYS).agg(
+        F.sum("n").alias("n"), F.sum(F.when(is_bad_sequence(), F.col("n"))).alias("bad")
+    )
+
+
+def split_sites(reads: DataFrame, sizes: DataFrame, max_rows: int, n: int):
+    """(reads of sites with at most ``max_rows`` rows, reads of the ``n`` larger ones)."""
+    large = sizes.filter(F.col("n") > max_rows).select(*SITE_KEYS)
+    if n <= BROADCAST_SITES:
+        large = F.broadcast(reads.sparkSession.createDataFrame(large.collect(), large.schema))
+    else:
+        large = settle(large)
+    return reads.join(large, SITE_KEYS, "left_anti"), reads.join(large, SITE_KEYS, "left_semi")
 
 
 def site_statistics(df: DataFrame, features: list[str]) -> DataFrame:
     """Mean, sd, min, max and quartiles of ``features`` per site.
 
-    ``df`` is the output of ``read_features`` with no site too large for one
-    task.  One shuffle of the rows on the site key and one sort; sites are then
-    contiguous and each Arrow batch is reduced with array operations, so a
-    task holds one batch and one unfinished site at a time.
+    ``df`` is the output of ``read_features`` over rows that are partitioned and
+    sorted by site, with no site too large for one task.  Each Arrow batch is
+    reduced with array operations, so a task holds one batch and one
+    unfinished site at a time.
     """
     schema = T.StructType(
         [df.schema[c] for c in SITE_CONTEXT]
         + [T.StructField(c, T.DoubleType()) for c in statistic_columns(features)]
     )
-    ordered = df.sortWithinPartitions(*SITE_KEYS, "sequence")
 
     def reduce_batches(batches):
         held = None
@@ -79,7 +88,7 @@ def site_statistics(df: DataFrame, features: list[str]) -> DataFrame:
         if held is not None:
             yield _reduce(held, np.zeros(1, dtype=np.int64), features)
 
-    return ordered.mapInArrow(reduce_batches, schema)
+    return df.mapInArrow(reduce_batches, schema)
 
 
 def _join_batches(first, second):
@@ -134,13 +143,11 @@ def _segment_statistics(values, site, starts):
         part = position - whole
         low = ordered[starts + whole]
         high = ordered[np.minimum(starts + whole + 1, last)]
-        stats[name] = np.where(part > 0, low + (high - low) * part, low)
+        stats[name] = np.where(part > 0, (1 - part) * low + part * high, low)
     return {s: np.nan_to_num(stats[s], nan=0.0, posinf=np.inf, neginf=-np.inf) for s in STATISTICS}
 
 
-def large_site_statistics(
-    df: DataFrame, features: list[str], value_limit: int
-) -> DataFrame:
+def large_site_statistics(df: DataFrame, features: list[str]) -> DataFrame:
     """The same statistics for sites that no single task should hold.
 
     Mean, sd, min and max are combined before the shuffle; the quantiles come
@@ -169,7 +176,6 @@ def large_site_statistics(
         features,
         list(QUANTILES.values()),
         simple,
-        value_limit,
     ).join(sequences, SITE_KEYS)
     named = {c: F.col(c) for c in statistic_columns(features) if c in joined.columns}
     for c in features:
@@ -186,7 +192,7 @@ def large_site_statistics(
 
 def build_features(
     df: DataFrame, kmer_baselines: DataFrame | None = None,
-    validate: bool = True, value_limit: int = GROUP_VALUE_LIMIT,
+    validate: bool = True, value_limit: int = SITE_VALUE_LIMIT,
 ) -> DataFrame:
     """One row per site: the site keys, then 153 feature columns.
 
@@ -201,7 +207,13 @@ def build_features(
     require_columns(df, FEATURE_INPUT)
     features = [*READ_FEATURES, *(RESIDUAL_FEATURES if kmer_baselines is not None else [])]
     max_rows = max(1, value_limit // len(features))
-    found = inspect_reads(df, max_rows)
+    sizes = site_sizes(df)
+    large = (F.col("n") > max_rows) & F.col(SITE_KEYS[0]).isNotNull() & F.col(SITE_KEYS[1]).isNotNull()
+    found = sizes.agg(
+        F.sum("n").alias("rows"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_sequences"),
+        F.count_if(large).alias("large_sites"),
+    ).first()
     if validate and not found["rows"]:
         raise ValueError("The input has no rows.")
     if validate and found["bad_sequences"]:
@@ -209,9 +221,7 @@ def build_features(
         raise ValueError(
             f"Expected 7-base sequences over A/C/G/T; got {example['sequence']!r}."
         )
-    reads = df.select(*FEATURE_INPUT).filter(
-        F.col(SITE_KEYS[0]).isNotNull() & F.col(SITE_KEYS[1]).isNotNull()
-    )
+    reads = given_keys(df.select(*FEATURE_INPUT), SITE_KEYS)
 
     def with_features(rows):
         rows = read_features(rows)
@@ -219,15 +229,20 @@ def build_features(
             rows = add_residuals(rows, kmer_baselines)
         return rows
 
-    # The raw columns are what crosses the network, the features follow.
+    # The raw columns are what is shuffled and sorted, the features follow.
     def statistics(rows):
-        return site_statistics(with_features(rows.repartition(*SITE_KEYS)), features)
+        order = [*SITE_KEYS, "sequence"]
+        rows = rows.repartition(*SITE_KEYS)
+        if kmer_baselines is None:
+            return site_statistics(with_features(rows.sortWithinPartitions(*order)), features)
+        # Spark drops a sort below the join with the baselines.
+        return site_statistics(with_features(rows).sortWithinPartitions(*order), features)
 
     if found["large_sites"]:
-        groups, bounded = large_groups(reads, SITE_KEYS, max_rows)
-        small, large = split_groups(reads, SITE_KEYS, groups, bounded)
+        sizes = given_keys(sizes, SITE_KEYS)
+        small, large = split_sites(reads, sizes, max_rows, found["large_sites"])
         sites = statistics(small).unionByName(
-            large_site_statistics(with_features(large), features, value_limit)
+            large_site_statistics(with_features(large), features)
         )
     else:
         sites = statistics(reads)

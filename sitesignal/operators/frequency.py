@@ -6,20 +6,23 @@ from pyspark.sql import functions as F
 from sitesignal.functions import percent
 from sitesignal.operators.sites import labelled
 
+# A table of k-mers by label has at most this many labels.
 MAX_LABELS = 10
 
 
 def label_column(label) -> str:
-    """0 -> label_0, 0.25 -> label_0_25."""
-    return "label_" + f"{label:g}".replace(".", "_")
+    """0 -> label_0, 0.25 -> label_0_25; different labels have different names."""
+    text = repr(float(label)).removesuffix(".0")
+    return "label_" + text.replace(".", "_")
 
 
-def distinct_labels(sites: DataFrame, limit: int = MAX_LABELS) -> list[float]:
+def distinct_labels(sites: DataFrame, limit: int | None = None) -> list[float]:
     """The labels in use; none at all or more than ``limit`` is an error."""
-    rows = labelled(sites).select("label").distinct().limit(limit + 1).collect()
+    rows = labelled(sites).select("label").distinct()
+    rows = (rows if limit is None else rows.limit(limit + 1)).collect()
     if not rows:
         raise ValueError("No annotated sites available.")
-    if len(rows) > limit:
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"More than {limit} annotation values.")
     return sorted(r["label"] for r in rows)
 
@@ -27,7 +30,7 @@ def distinct_labels(sites: DataFrame, limit: int = MAX_LABELS) -> list[float]:
 def crosstab(sites: DataFrame, key: str, labels=(0, 1)) -> DataFrame:
     """Sites per value of ``key`` and label, 0 where there are none.
 
-    ``labels=None`` looks the labels up first (at most MAX_LABELS).
+    ``labels=None`` looks the labels up first: one column for each in use.
     """
     labels = distinct_labels(sites) if labels is None else labels
     return (
@@ -61,9 +64,10 @@ def _total(columns):
 def kmer_by_label(sites: DataFrame, column: str, top_n: int | None = None) -> DataFrame:
     """% of each label's sites per k-mer, for any label set.
 
-    The percentages refer to all sites of the label, also with ``top_n``.
+    The percentages refer to all sites of the label, also with ``top_n``.  More
+    than MAX_LABELS labels are an error.
     """
-    counts = crosstab(sites, column, labels=None)
+    counts = crosstab(sites, column, distinct_labels(sites, MAX_LABELS))
     key, *columns = counts.columns
     totals = counts.agg(F.struct(*[F.sum(c).alias(c) for c in columns])).scalar()
     if top_n is not None:

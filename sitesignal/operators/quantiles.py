@@ -1,13 +1,11 @@
-"""Exact quantiles per group that survive groups of any size.
-
-Spark's exact ``percentile`` keeps every distinct value of a group in the
-memory of one task.  That is the fastest plan for ordinary groups, and the
-wrong one for a group that holds, say, a third of all rows (or for one median
-over a whole table).  Groups above a row limit therefore take another way:
-their values are only ever *counted*, with map-side combine, into buckets
-between the group's smallest and largest value; the bucket that holds the
-wanted rank becomes the next range, until it is a single value or small enough
-to list.  Nothing is sampled: both ways give the same exact result.
+"""Exact quantiles per group, by one plan for groups of any size.
+
+Values are only ever counted: one scan counts each (group, column, value) with
+map-side combine.  The counts are dealt by ranges of (group, column, value), so
+that a group with a third of all rows, or a whole table as one group, is spread
+over tasks like any other; ranks follow from running sums within a range and
+the sums of the ranges before it.  Nothing is sampled, no group is gathered,
+and there is one formula for all.
 """
 
 import tempfile
@@ -15,12 +13,6 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group may keep this many values (rows times columns) in one task.
-GROUP_VALUE_LIMIT = 600_000
-# Above this many large groups their keys are joined, not broadcast.
-BROADCAST_GROUP_LIMIT = 1_000
-BUCKETS = 1_024
-
 
 def ensure_checkpoint_dir(spark):
     """Use ``spark.checkpoint.dir``; only a local session gets its own."""
@@ -33,245 +25,150 @@ def ensure_checkpoint_dir(spark):
     elif context.master.startswith("local"):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     else:
-        raise RuntimeError(
-            "Set spark.checkpoint.dir to a folder that all executors share."
-        )
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
 
 
-def large_groups(df: DataFrame, keys: list[str], max_rows: int):
-    """(keys of the groups with more than ``max_rows`` rows, bounded?) or None.
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, to be read more than once.
 
-    Reads the key columns only.  Up to BROADCAST_GROUP_LIMIT keys come back as
-    a local table that is safe to broadcast; more stay distributed.
+    The files are removed with the table if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true.
     """
-    counts = df.groupBy(*keys).count().filter(F.col("count") > max_rows).select(*keys)
-    found = counts.limit(BROADCAST_GROUP_LIMIT + 1).collect()
-    if not found:
-        return None
-    if len(found) <= BROADCAST_GROUP_LIMIT:
-        return df.sparkSession.createDataFrame(found, counts.schema), True
     ensure_checkpoint_dir(df.sparkSession)
-    return counts.checkpoint(), False
-
+    return df.checkpoint()
 
-def split_groups(df: DataFrame, keys: list[str], groups, bounded: bool):
-    """(rows of other groups, rows of the given groups)."""
-    side = F.broadcast(groups) if bounded else groups
-    return df.join(side, keys, "left_anti"), df.join(side, keys, "left_semi")
-
-
-def grouped_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    columns: list[str],
-    probs: list[float],
-    aggregates=(),
-    value_limit: int = GROUP_VALUE_LIMIT,
-) -> DataFrame:
-    """``aggregates`` and exact linear quantiles of ``columns`` per group.
 
-    Adds one array column ``q_<column>`` per column, in the order of
-    ``probs``.  Null and NaN values are skipped; null keys form no group.
-    Without ``keys`` the whole table is one group.  One job runs at once: it
-    aggregates all groups and so finds the large ones, whose ``aggregates``
-    and value ranges it brings along.
-    """
-    aggregates = list(aggregates)
-    df = df.select(
-        *[c for c in df.columns if c not in columns],
-        *[
-            F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
-            for c in columns
-        ],
-    )
-    whole = not keys
-    if whole:
-        keys = ["_group"]
-        df = df.withColumn("_group", F.lit(0))
+def given_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are neither null nor NaN; these form no group."""
+    kinds = dict(df.dtypes)
     for k in keys:
-        df = df.filter(F.col(k).isNotNull())
-    max_rows = max(1, value_limit // max(1, len(columns)))
-    ranges = []
-    for i, c in enumerate(columns):
-        ranges += [
-            F.count(c).alias(f"_n{i}"),
-            F.min(c).alias(f"_lo{i}"),
-            F.max(c).alias(f"_hi{i}"),
-        ]
-    groups = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *aggregates, *ranges)
-    is_large = F.col("_rows") > max_rows
-    head = groups.limit(BROADCAST_GROUP_LIMIT + 1).collect()
-    all_seen = len(head) <= BROADCAST_GROUP_LIMIT
-    if not all_seen:
-        head = groups.filter(is_large).limit(BROADCAST_GROUP_LIMIT + 1).collect()
-    found = [row for row in head if row["_rows"] > max_rows]
+        given = F.col(k).isNotNull()
+        if kinds[k] in ("double", "float"):
+            given = given & ~F.isnan(k)
+        df = df.filter(given)
+    return df
 
-    exact = [F.percentile(c, list(probs)).alias(f"q_{c}") for c in columns]
-    if not found:
-        result = df.groupBy(*keys).agg(*aggregates, *exact)
-    else:
-        bounded = len(found) <= BROADCAST_GROUP_LIMIT
-        if bounded:
-            large = df.sparkSession.createDataFrame(found, groups.schema)
-        else:
-            ensure_checkpoint_dir(df.sparkSession)
-            large = groups.filter(is_large).checkpoint()
-        names = [c for c in groups.columns if not c.startswith(("_rows", "_n", "_lo", "_hi"))]
-        ranked = _ranked(df, keys, columns, probs, large, max_rows, bounded)
-        result = large.select(*names).join(ranked, keys, "left")
-        if not (all_seen and len(found) == len(head)):
-            rest, _ = split_groups(df, keys, large.select(*keys), bounded)
-            small = rest.groupBy(*keys).agg(*aggregates, *exact)
-            result = small.unionByName(result)
-    return result.drop("_group") if whole else result
 
+def counted(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, _column, _value, _n): how often each value of each column occurs.
 
-def _ranked(df, keys, columns, probs, large, max_rows, bounded):
-    """Exact quantiles of the groups in ``large``, without listing a group."""
-    spark = df.sparkSession
-    names = {c: i for i, c in enumerate(columns)}
-    values = df.select(
-        *keys,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("_column"), F.col(c).alias("_value"))
-                    for c, i in names.items()
-                ]
-            )
-        ),
-    ).filter(F.col("_value").isNotNull())
-
-    series = [*keys, "_column"]
-    interval = [*series, "_lo", "_hi"]
-    position = (F.col("_n") - 1) * F.col("_p")
-    per_series = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("_column"),
-                F.col(f"_lo{i}").alias("_lo"),
-                F.col(f"_hi{i}").alias("_hi"),
-                F.col(f"_n{i}").alias("_n"),
-            )
-            for i in names.values()
-        ]
-    )
-    per_prob = F.array(
+    Null and NaN values are skipped, and so are rows without a key.
+    ``_column`` is the name of the column.
+    """
+    value = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns]
+    pairs = F.array(
         *[
-            F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p"))
-            for i, p in enumerate(probs)
+            F.struct(F.lit(c).alias("_column"), v.alias("_value"))
+            for c, v in zip(columns, value)
         ]
     )
-    # One row per group, column and wanted rank: the range that holds the rank,
-    # the number of values in it and the rank within it.
-    targets = (
-        large.select(*keys, F.inline(per_series))
-        .filter(F.col("_n") > 0)
-        .select(*interval, "_n", F.inline(per_prob))
-        .withColumn("_floor", F.floor(position))
-        .withColumn("_frac", position - F.col("_floor"))
-        .withColumn("_upper", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("_rank", F.least(F.col("_floor") + F.col("_upper"), F.col("_n") - 1))
-        .select(*interval, "_n", "_i", "_frac", "_upper", "_rank")
+    rows = given_keys(df, keys).select(*keys, F.inline(pairs))
+    return (
+        rows.filter(F.col("_value").isNotNull())
+        .groupBy(*keys, "_column", "_value")
+        .agg(F.count("*").alias("_n"))
     )
 
-    def settle(targets):
-        """(the same rows cut from their lineage, is a range still wide?)
 
-        At most 2 * groups * columns * probs rows: local if the groups are
-        few, a checkpoint otherwise.
-        """
-        wide = (F.col("_lo") < F.col("_hi")) & (F.col("_n") > max_rows)
-        if not bounded:
-            targets = targets.checkpoint()
-            return targets, not targets.filter(wide).isEmpty(), wide
-        rows = targets.collect()
-        some = any(r["_lo"] < r["_hi"] and r["_n"] > max_rows for r in rows)
-        return spark.createDataFrame(rows, targets.schema), some, wide
+def in_ranges(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells, dealt by ranges of (keys, column, value); ``_part`` numbers the ranges."""
+    dealt = cells.repartitionByRange(*keys, "_column", "_value")
+    return settle(dealt.withColumn("_part", F.spark_partition_id()))
 
-    def in_ranges(ranges):
-        # At most BROADCAST_GROUP_LIMIT * columns * 2 * probs ranges.
-        side = F.broadcast(ranges) if bounded else ranges
-        return values.join(side, series).filter(
-            F.col("_value").between(F.col("_lo"), F.col("_hi"))
-        )
 
-    def pick(wanted, counted, order, lo, hi):
-        """Replace each range by the counted cell that holds its rank."""
-        before = Window.partitionBy(*interval).orderBy(order)
-        cells = counted.withColumn(
-            "_end",
-            F.sum("_cell_n").over(before.rowsBetween(Window.unboundedPreceding, 0)),
-        ).withColumn("_start", F.col("_end") - F.col("_cell_n"))
-        return (
-            wanted.join(cells, interval)
-            .filter((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
-            .select(
-                *series,
-                F.col(lo).alias("_lo"),
-                F.col(hi).alias("_hi"),
-                F.col("_cell_n").alias("_n"),
-                "_i",
-                "_frac",
-                "_upper",
-                (F.col("_rank") - F.col("_start")).alias("_rank"),
-            )
-        )
+def ranked(cells: DataFrame, keys: list[str], probs) -> DataFrame:
+    """(keys, _column, _q): linear quantiles, in the order of ``probs``.
 
-    # Monotone in the value, so buckets never cross; the range's own ends get
-    # buckets of their own, so every round narrows the range.
-    half_span = F.col("_hi") * 0.5 - F.col("_lo") * 0.5
-    share = F.try_divide(F.col("_value") * 0.5 - F.col("_lo") * 0.5, half_span)
-    inner = F.floor(F.nanvl(F.coalesce(share, F.lit(0.0)), F.lit(0.0)) * (BUCKETS - 2))
-    bucket = (
-        F.when(F.col("_value") <= F.col("_lo"), F.lit(0))
-        .when(F.col("_value") >= F.col("_hi"), F.lit(BUCKETS - 1))
-        .otherwise(F.least(F.greatest(inner + 1, F.lit(1)), F.lit(BUCKETS - 2)))
-        .cast("int")
+    ``cells`` comes from ``in_ranges``.  Between two neighbours a and b the
+    quantile is ``(1 - f) * a + f * b``, so minus infinity stays what it is.
+    """
+    series = [*keys, "_column"]
+    sizes = cells.groupBy(*series, "_part").agg(F.sum("_n").alias("_size"))
+    by_part = Window.partitionBy(*series).orderBy("_part")
+    before = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    # A few rows per series and range: where each range starts, and which of
+    # the wanted ranks lie in it.
+    sizes = sizes.select(
+        *series,
+        "_part",
+        "_size",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
+        F.sum("_size").over(Window.partitionBy(*series)).alias("_total"),
     )
-    while True:
-        targets, narrowing, wide = settle(targets)
-        if not narrowing:
-            break
-        wanted = targets.filter(wide)
-        counted = (
-            in_ranges(wanted.select(*interval).distinct())
-            .groupBy(*interval, bucket.alias("_bucket"))
-            .agg(
-                F.count("*").alias("_cell_n"),
-                F.min("_value").alias("_cell_lo"),
-                F.max("_value").alias("_cell_hi"),
+    position = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
+    ranks = []
+    for i, at in enumerate(position):
+        whole = F.floor(at)
+        for upper in (0, 1):
+            rank = F.least(whole + upper, F.col("_total") - 1)
+            ranks.append(
+                F.struct(
+                    F.lit(i).alias("i"),
+                    F.lit(upper).alias("upper"),
+                    (at - whole).alias("f"),
+                    rank.alias("rank"),
+                )
             )
+    wanted = F.filter(
+        F.array(*ranks),
+        lambda r: (r.rank >= F.col("_start")) & (r.rank < F.col("_start") + F.col("_size")),
+    )
+    sizes = sizes.withColumn("_wanted", wanted).filter(F.size("_wanted") > 0)
+    sizes = sizes.select(*series, "_part", "_start", "_wanted")
+
+    inside = Window.partitionBy(*series, "_part").orderBy("_value")
+    running = F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    found = (
+        cells.join(sizes, [*series, "_part"])
+        .withColumn("_end", F.col("_start") + running)
+        .withColumn(
+            "_wanted",
+            F.filter(
+                "_wanted",
+                lambda r: (r.rank < F.col("_end")) & (r.rank >= F.col("_end") - F.col("_n")),
+            ),
         )
-        targets = pick(wanted, counted, "_bucket", "_cell_lo", "_cell_hi").unionByName(
-            targets.filter(~wide).select(*targets.columns)
+        .select(*series, "_value", F.inline("_wanted"))
+    )
+    picked = []
+    for i in range(len(probs)):
+        low, high, f = (
+            F.max(F.when((F.col("i") == i) & (F.col("upper") == u), x))
+            for u, x in ((0, F.col("_value")), (1, F.col("_value")), (0, F.col("f")))
         )
+        picked.append(F.when(f > 0, (1 - f) * low + f * high).otherwise(low))
+    return found.groupBy(*series).agg(F.array(*picked).alias("_q"))
 
-    # What is left is a single value or at most max_rows rows per range.
-    rest = targets.filter(F.col("_lo") < F.col("_hi"))
-    listed = (
-        in_ranges(rest.select(*interval).distinct())
-        .groupBy(*interval, "_value")
-        .agg(F.count("*").alias("_cell_n"))
-    )
-    done = targets.filter(F.col("_lo") >= F.col("_hi")).unionByName(
-        pick(rest, listed, "_value", "_value", "_value")
-    )
-    done, _, _ = settle(done)
-    below = F.max(F.when(F.col("_upper") == 0, F.col("_lo")))
-    above = F.max(F.when(F.col("_upper") == 1, F.col("_lo")))
-    frac = F.max("_frac")
-    ranked = done.groupBy(*series, "_i").agg(
-        F.when(frac > 0, below + (above - below) * frac).otherwise(below).alias("_q")
-    )
-    return ranked.groupBy(*keys).agg(
+
+def side_by_side(long: DataFrame, keys: list[str], columns: list[str], values) -> DataFrame:
+    """One row per group from one per group and column; (name, column) pairs in ``values``."""
+    return long.groupBy(*keys).agg(
         *[
-            F.array(
-                *[
-                    F.max(F.when((F.col("_column") == n) & (F.col("_i") == i), F.col("_q")))
-                    for i in range(len(probs))
-                ]
-            ).alias(f"q_{c}")
-            for c, n in names.items()
+            F.max(F.when(F.col("_column") == c, F.col(value))).alias(f"{name}{c}")
+            for c in columns
+            for name, value in values
         ]
     )
+
+
+def grouped_quantiles(
+    df: DataFrame, keys: list[str], columns: list[str], probs, aggregates=()
+) -> DataFrame:
+    """``aggregates`` and exact linear quantiles of ``columns`` per group.
+
+    Adds one array column ``q_<column>`` per column, in the order of
+    ``probs``, null for a group without a value.  Null and NaN values are
+    skipped; rows without a key belong to no group.  Without ``keys`` the
+    whole table is one group.
+    """
+    whole = not keys
+    if whole:
+        keys = ["_group"]
+        df = df.withColumn("_group", F.lit(0))
+    cells = in_ranges(counted(df, keys, columns), keys)
+    long = ranked(cells, keys, probs)
+    result = side_by_side(long, keys, columns, [("q_", "_q")])
+    if aggregates:
+        stats = given_keys(df, keys).groupBy(*keys).agg(*aggregates)
+        result = stats.join(result, keys, "left")
+    return result.drop("_group") if whole else result

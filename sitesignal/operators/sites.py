@@ -8,20 +8,25 @@ from sitesignal.operators.joins import validated_join
 from sitesignal.schema import CENTRAL_SIGNALS, SITE_KEYS, SITE_METADATA
 
 
-def site_table(reads: DataFrame) -> DataFrame:
+def site_table(reads: DataFrame, read_rows: str | None = None) -> DataFrame:
     """One row per site with its metadata.
 
     Metadata is constant within a site (``quality.metadata_conflicts``); if it
     is not, the smallest combination is used.  Reads are first counted per
     site and metadata by hashing, so that the aggregate over texts, for which
-    Spark sorts, sees about one row per site and not one per read.
+    Spark sorts, sees about one row per site and not one per read.  With
+    ``read_rows`` a column of that name holds the rows counted per site.
     """
     metadata = [c for c in SITE_METADATA if c in reads.columns]
     combinations = reads.groupBy(*SITE_KEYS, *metadata).agg(F.count("*").alias("_rows"))
     return (
         combinations.groupBy(*SITE_KEYS)
-        .agg(F.min(F.struct(*metadata, "_rows")).alias("_site"))
-        .select(*SITE_KEYS, *[F.col(f"_site.{c}") for c in metadata])
+        .agg(F.min(F.struct(*metadata, "_rows")).alias("_site"), F.sum("_rows").alias("_all"))
+        .select(
+            *SITE_KEYS,
+            *[F.col(f"_site.{c}") for c in metadata],
+            *([F.col("_all").alias(read_rows)] if read_rows else []),
+        )
     )
 
 
@@ -87,7 +92,7 @@ def site_means(
         reads.groupBy(*SITE_KEYS).agg(*means),
         labels.select(*SITE_KEYS, "label"),
         how="left",
-        validate="one_to_one",
+        validate="many_to_one",  # the left side was just grouped by the keys
     )
 
 

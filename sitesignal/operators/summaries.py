@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal.functions import percent, present
-from sitesignal.operators.quantiles import GROUP_VALUE_LIMIT, grouped_quantiles
+from sitesignal.operators.quantiles import counted, in_ranges, grouped_quantiles, ranked, settle
 from sitesignal.operators.sites import labelled, site_table
 from sitesignal.schema import SITE_KEYS
 
@@ -101,37 +101,37 @@ def percentile_name(p: float) -> str:
     return f"p{round(100 * p):02d}"
 
 
-def describe(
-    df: DataFrame,
-    column: str,
-    percentiles=(0.25, 0.5, 0.75),
-    by=None,
-    value_limit: int = GROUP_VALUE_LIMIT,
-) -> DataFrame:
+def describe(df: DataFrame, column: str, percentiles=(0.25, 0.5, 0.75), by=None) -> DataFrame:
     """count, mean, std, min, exact percentiles and max, over all or per group.
 
-    Missing values and, with ``by``, missing groups are left out.
+    Missing values and, with ``by``, missing groups (null or NaN) are left out.
+    ``df`` is evaluated once, to count the values; the rest follows from these.
     """
-    keys = [by] if by else []
-    value = F.col(column)
-    aggregates = [
-        F.count(value).alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    ]
-    stats = grouped_quantiles(
-        df.select(*keys, column), keys, [column], percentiles, aggregates, value_limit
+    keys = [by] if by else ["_group"]
+    df = df.select(by if by else F.lit(0).alias("_group"), column)
+    cells = in_ranges(counted(df, keys, [column]), keys)
+    value, n = F.col("_value"), F.col("_n")
+    moments = cells.groupBy(*keys).agg(
+        F.sum("_n").alias("count"),
+        (F.sum(value * n) / F.sum("_n")).alias("mean"),
+        F.min("_value").alias("min"),
+        F.max("_value").alias("max"),
+    )
+    apart = (value - F.col("mean")) * (value - F.col("mean")) * n
+    spread = (
+        cells.join(moments.select(*keys, "count", "mean"), keys)
+        .groupBy(*keys, "count")
+        .agg(F.sqrt(F.try_divide(F.sum(apart), F.col("count") - 1)).alias("std"))
+        .drop("count")
     )
-    ranked = F.col(f"q_{column}")
+    stats = moments.join(spread, keys).join(ranked(cells, keys, percentiles), keys)
     return stats.select(
-        *keys,
+        *([by] if by else []),
         "count",
         "mean",
         "std",
         "min",
-        *[F.get(ranked, F.lit(i)).alias(percentile_name(p)) for i, p in enumerate(percentiles)],
+        *[F.get("_q", F.lit(i)).alias(percentile_name(p)) for i, p in enumerate(percentiles)],
         "max",
     )
 
@@ -212,15 +212,16 @@ def constant_label_share(labels: DataFrame) -> DataFrame:
     )
 
 
-def overview(
-    datasets: dict[str, DataFrame], value_limit: int = GROUP_VALUE_LIMIT
-) -> DataFrame:
-    """One row per data set: sizes, positives, median and range of coverage."""
+def overview(datasets: dict[str, DataFrame]) -> DataFrame:
+    """One row per data set: sizes, positives, median and range of coverage.
+
+    Each data set is scanned once, to its site table.
+    """
     rows = []
     for name, reads in datasets.items():
-        sites = site_table(reads)
+        sites = settle(site_table(reads, read_rows="_reads"))
         aggregates = [
-            F.sum("n_reads").alias("reads"),
+            F.coalesce(F.sum("_reads"), F.lit(0)).alias("reads"),
             F.count("*").alias("sites"),
             F.count_distinct("transcript_id").alias("transcripts"),
             F.count_distinct("gene_id").alias("genes"),
@@ -232,14 +233,11 @@ def overview(
             F.max("n_reads").alias("max_reads"),
         ]
         sites = sites.withColumn("_coverage", F.col("n_reads").cast("double"))
-        counts = reads.groupBy().agg(F.count("*").alias("reads")).scalar()
-        row = grouped_quantiles(
-            sites, [], ["_coverage"], [0.5], aggregates[1:], value_limit
-        )
+        row = grouped_quantiles(sites, [], ["_coverage"], [0.5], aggregates)
         rows.append(
             row.select(
                 F.lit(name).alias("dataset"),
-                counts.alias("reads"),
+                "reads",
                 "sites",
                 "transcripts",
                 "genes",

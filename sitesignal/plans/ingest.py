@@ -31,6 +31,10 @@ from sitesignal.sources.signals import (
 from sitesignal.sources.storage import Storage
 
 
+# Label rows of about 100 bytes; beyond this many they are joined, not broadcast.
+BROADCAST_LABELS = 200_000
+
+
 def audit_path(output: str) -> str:
     """``x/reads.parquet`` -> ``x/reads.audit.json``."""
     folder, _, name = output.rstrip("/").rpartition("/")
@@ -38,15 +42,6 @@ def audit_path(output: str) -> str:
     return f"{folder}/{stem}.audit.json" if folder else f"{stem}.audit.json"
 
 
-def site_counts(sites: DataFrame) -> DataFrame:
-    """One row: sites, reads, sites whose motif is not DRACH."""
-    return sites.agg(
-        F.count("*").alias("parsed_sites"),
-        F.coalesce(F.sum("n_reads"), F.lit(0)).alias("parsed_read_rows"),
-        F.count_if(~is_drach("central_5mer")).alias("sites_outside_expected_DRACH_motif"),
-    )
-
-
 def key_counts(sites: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """One row: a repeated site key or null, and how sites and labels match.
 
@@ -102,7 +97,10 @@ def ingest(
     else:
         lines, wanted = read_first_lines(spark, signals, max_sites)
     try:
-        parse_lines(wanted).drop("value").write.parquet(partial)
+        # What the checks need of the reads is staged beside them.
+        parse_lines(wanted).drop("value").withColumns(
+            {"n_reads": F.size("reads").cast("bigint"), "central_5mer": central_kmer()}
+        ).write.parquet(partial)
         staged = spark.read.parquet(partial)
         counts = _checked_counts(staged, lines)
         sites = good_sites(staged)
@@ -117,7 +115,9 @@ def ingest(
             **(matches if label_rows is not None else dict.fromkeys(matches)),
         }
         if label_rows is not None:
-            sites = attach_labels(sites, label_rows, validate=False)
+            small = matches["label_rows"] <= BROADCAST_LABELS
+            right = F.broadcast(label_rows) if small else label_rows
+            sites = attach_labels(sites, right, validate=False)
         try:
             write_reads(explode_reads(sites), output, batch_size)
         except AnalysisException:
@@ -143,14 +143,11 @@ def _checked_counts(staged: DataFrame, lines: DataFrame) -> dict:
     """
     where = F.struct(*LINE_ORDER)
     bad = F.col("reason").isNotNull()
-    checked = staged.select(
-        "*", central_kmer().alias("central_5mer"), F.size("reads").alias("n_reads")
-    )
     found = (
-        checked.select(
+        staged.select(
             F.when(bad, where).alias("bad_at"),
             "reason",
-            F.when(~bad, F.col("n_reads")).cast("bigint").alias("n_reads"),
+            F.when(~bad, F.col("n_reads")).alias("n_reads"),
             F.when(~bad, F.col("central_5mer")).alias("central_5mer"),
         )
         .agg(

@@ -17,7 +17,7 @@ def profile(
 
     ``labels`` is the raw label table, if label statistics should refer to it
     rather than to the sites with reads.  ``binary=False`` takes every label in
-    use (at most 10) where the default looks at 0 and 1.  The site table is
+    use where the default looks at 0 and 1.  The site table is
     cached while the tables are used; ``tables["sites"].unpersist()`` frees it.
     """
     sites = s.site_table(reads).persist()

@@ -54,6 +54,7 @@ LABELS_SCHEMA = T.StructType(LABEL_FIELDS)
 # transcript -> position -> 7-mer -> reads x 9
 SIGNAL_JSON = "map<string,map<string,map<string,array<array<double>>>>>"
 
+# Fixed values, as are all column names and their order from here on.
 # Per-read features: three log dwells, six signals as they are, six
 # centre-to-flank contrasts.
 FLANKS = ["minus1", "plus1"]

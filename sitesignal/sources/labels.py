@@ -7,6 +7,17 @@ from sitesignal.functions import is_blank, is_missing_token
 from sitesignal.schema import LABELS_SCHEMA, SITE_KEYS, require_columns
 
 
+# Spark also reads ``0.5f`` and ``0.5d`` as numbers.
+NUMBER = (
+    r"\A(?i)\s*[+-]?((\d+[.]?\d*|[.]\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*\z"
+)
+
+
+def as_number(c):
+    """A text as a double, null if it is no plain number."""
+    return F.when(F.col(c).rlike(NUMBER), F.col(c).try_cast("double"))
+
+
 def read_labels(spark: SparkSession, path, validate: bool = True) -> DataFrame:
     """Labels as (gene_id, transcript_id, transcript_position, label).
 
@@ -17,72 +28,90 @@ def read_labels(spark: SparkSession, path, validate: bool = True) -> DataFrame:
     return prepare_labels(raw, validate)
 
 
-def prepare_labels(raw: DataFrame, validate: bool = True) -> DataFrame:
-    """Type, check and project a table of label texts."""
+def given_labels(raw: DataFrame) -> DataFrame:
+    """The label columns as text, null where a CSV reader takes them as missing."""
     require_columns(raw, [*SITE_KEYS, "label"])
     if "gene_id" not in raw.columns:
         raw = raw.withColumn("gene_id", F.lit(None).cast("string"))
-    given = raw.select(
+    return raw.select(
         *[
             F.when(~is_missing_token(F.col(c).cast("string")), F.col(c).cast("string")).alias(c)
             for c in LABELS_SCHEMA.names
         ]
     )
-    number = F.col("transcript_position").try_cast("double")
-    position = F.coalesce(
+
+
+def label_position():
+    """The position as an integer; ``244.0`` is one, ``244.5`` is not."""
+    number = as_number("transcript_position")
+    return F.coalesce(
         F.col("transcript_position").try_cast("bigint"),
         F.when(number == F.floor(number), number).try_cast("bigint"),
     )
+
+
+def prepare_labels(raw: DataFrame, validate: bool = True) -> DataFrame:
+    """Type, check and project a table of label texts."""
     if validate:
-        check_labels(given, position)
-    return given.select(
+        check_labels(raw)
+    return given_labels(raw).select(
         F.when(~is_blank("gene_id"), F.col("gene_id")).alias("gene_id"),
         "transcript_id",
-        position.alias("transcript_position"),
-        F.col("label").try_cast("double").alias("label"),
+        label_position().alias("transcript_position"),
+        as_number("label").alias("label"),
     )
 
 
-def check_labels(given: DataFrame, position=None) -> None:
-    """Raise ``ValueError`` unless keys and labels are given, valid and unique.
+# Check -> what its failing means, in the order in which checks are reported.
+CHECKS = {
+    "missing": "Missing transcript id, position or label.",
+    "blank": "Blank transcript id.",
+    "bad_position": "A transcript position is not an integer.",
+    "bad_label": "A label is not a number.",
+    "not_finite": "Labels contain non-finite values.",
+    "out_of_range": "Expected labels in the range [0, 1].",
+    "duplicates": "Duplicate site keys in the labels",
+}
 
-    One job: rows are combined per site key before the shuffle, then counted.
-    """
-    position = F.col("transcript_position") if position is None else position
-    label = F.col("label").try_cast("double")
-    finite = ~F.isnan(label) & (F.abs(label) < F.lit(float("inf")))
+
+def _label_keys(given: DataFrame) -> DataFrame:
+    """Per site key: rows, and rows that fail each check on rows."""
+    label = as_number("label")
     required = [F.col(c) for c in [*SITE_KEYS, "label"]]
-    missing = required[0].isNull() | required[1].isNull() | required[2].isNull()
-    failures = [
-        ("missing", missing),
-        ("blank", is_blank("transcript_id")),
-        ("bad_position", position.isNull()),
-        ("bad_label", label.isNull()),
-        ("not_finite", ~finite),
-        ("out_of_range", ~label.between(0, 1)),
-    ]
-    per_site = given.groupBy("transcript_id", position.alias("transcript_position")).agg(
+    failures = {
+        "missing": required[0].isNull() | required[1].isNull() | required[2].isNull(),
+        "blank": is_blank("transcript_id"),
+        "bad_position": label_position().isNull(),
+        "bad_label": label.isNull(),
+        "not_finite": F.isnan(label) | (F.abs(label) == F.lit(float("inf"))),
+        "out_of_range": ~label.between(0, 1),
+    }
+    return given.groupBy("transcript_id", label_position().alias("transcript_position")).agg(
         F.count("*").alias("n"),
-        *[F.count_if(F.coalesce(bad, F.lit(False))).alias(name) for name, bad in failures],
+        *[F.count_if(F.coalesce(bad, F.lit(False))).alias(name) for name, bad in failures.items()],
     )
-    found = per_site.agg(
-        *[F.sum(name).alias(name) for name, _ in failures],
-        F.count_if(F.col("n") > 1).alias("duplicates"),
-    ).first()
-    messages = {
-        "missing": "Missing transcript id, position or label.",
-        "blank": "Blank transcript id.",
-        "bad_position": "A transcript position is not an integer.",
-        "bad_label": "A label is not a number.",
-        "not_finite": "Labels contain non-finite values.",
-        "out_of_range": "Expected labels in the range [0, 1].",
-    }
-    for name, text in messages.items():
-        if found[name]:
+
+
+def label_report(raw: DataFrame) -> DataFrame:
+    """(check, failed_rows) of a table of label texts; of duplicates the site keys are counted.
+
+    Rows are combined per site key before the shuffle, then counted.
+    """
+    sums = {name: F.coalesce(F.sum(name), F.lit(0)) for name in CHECKS if name != "duplicates"}
+    sums["duplicates"] = F.count_if(F.col("n") > 1)
+    counts = _label_keys(given_labels(raw)).agg(*[c.alias(name) for name, c in sums.items()])
+    rows = [F.struct(F.lit(c).alias("check"), F.col(c).alias("failed_rows")) for c in CHECKS]
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def check_labels(raw: DataFrame) -> None:
+    """Raise ``ValueError`` unless keys and labels are given, valid and unique."""
+    found = dict(label_report(raw).collect())
+    for name, text in CHECKS.items():
+        if found[name] and name != "duplicates":
             raise ValueError(text)
     if found["duplicates"]:
-        examples = (
-            per_site.filter(F.col("n") > 1).orderBy(*SITE_KEYS).limit(5).select(*SITE_KEYS)
-        )
+        keys = _label_keys(given_labels(raw)).filter(F.col("n") > 1)
+        examples = keys.orderBy(*SITE_KEYS).limit(5).select(*SITE_KEYS)
         shown = ", ".join(str(tuple(r)) for r in examples.collect())
-        raise ValueError(f"Duplicate site keys in the labels: {shown}")
+        raise ValueError(f"{CHECKS['duplicates']}: {shown}")

@@ -37,17 +37,25 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     ``line_id`` grows with the line within one split of a file and splits are
     ordered by where they start, so LINE_ORDER is the order in the file.
     """
-    lines = spark.read.text(path).select(
+    source = spark.read.text(path)
+    names = source.inputFiles()
+    packed = [n for n in names if n.lower().endswith(".gz")]
+    if not packed or len(packed) >= spark.sparkContext.defaultParallelism:
+        return _lines_of(source)
+    # A gzip file is one task.  Only unpacking happens there: if there are few,
+    # their lines (and no others) are spread by number before the costly parse.
+    plain = [unquote(n) for n in names if n not in set(packed)]
+    lines = _lines_of(spark.read.text([unquote(n) for n in packed])).repartition("line_id")
+    return _lines_of(spark.read.text(plain)).unionAll(lines) if plain else lines
+
+
+def _lines_of(source: DataFrame) -> DataFrame:
+    return source.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_id"),
         "value",
     )
-    if any(name.lower().endswith(".gz") for name in lines.inputFiles()):
-        # A gzip file is one task.  Only unpacking happens there: the lines are
-        # spread by their number before the costly parse.
-        lines = lines.repartition("line_id")
-    return lines
 
 
 def skip_blank_lines(lines: DataFrame) -> DataFrame:
@@ -58,8 +66,7 @@ def first_lines(lines: DataFrame, n: int) -> DataFrame:
     """The first ``n`` of these lines in file order, however many there are.
 
     Lines are counted per split, which shows in which split the n-th one
-    stands.  Numbers grow by one per line within a split, so its own number
-    follows from counting again as long as skipped (blank) lines are found.
+    stands; in that split the lines are ranked.  Two jobs, whatever the input.
     """
     splits = lines.groupBy("file", "block").agg(
         F.count("*").alias("size"), F.min("line_id").alias("first_id")
@@ -75,13 +82,8 @@ def first_lines(lines: DataFrame, n: int) -> DataFrame:
     if last is None:
         return lines
     inside = (F.col("file") == last["file"]) & (F.col("block") == last["block"])
-    wanted = n - last["before"]
-    cut = last["first_id"] + wanted - 1
-    while True:
-        found = lines.filter(inside & (F.col("line_id") <= cut)).count()
-        if found >= wanted:
-            break
-        cut += wanted - found
+    head = lines.filter(inside).select("line_id").orderBy("line_id").limit(n - last["before"])
+    cut = head.agg(F.max("line_id")).first()[0]
     earlier = (F.col("file") < last["file"]) | (
         (F.col("file") == last["file"]) & (F.col("block") < last["block"])
     )
@@ -225,27 +227,29 @@ def explode_reads(sites: DataFrame) -> DataFrame:
 
 
 def lookup_site(
-    sites: DataFrame, labels: DataFrame, transcript_id=None, transcript_position=None
+    lines: DataFrame, labels: DataFrame, transcript_id=None, transcript_position=None
 ) -> DataFrame:
     """One checked site with its label row, which must exist exactly once.
 
-    Without a key, the first site in file order.
+    ``lines`` are lines of text, or parsed ones.  Without a key the first line in
+    file order that is not blank is taken, and of texts only that one is parsed.
     """
+    parsed = "reason" in lines.columns
+    if transcript_id is None:
+        lines = first_lines(lines if parsed else skip_blank_lines(lines), 1)
+    sites = lines if parsed else parse_lines(lines)
     if transcript_id is not None:
         sites = sites.filter(
             (F.col("transcript_id") == transcript_id)
             & (F.col("transcript_position") == transcript_position)
         )
-    elif set(LINE_ORDER) <= set(sites.columns):
-        sites = sites.orderBy(*LINE_ORDER)
-    row = sites.limit(1).first()
+        sites = sites.orderBy(*LINE_ORDER).limit(1)
+    row = sites.select(*SITE_KEYS, "reason").first()  # the reads stay where they are
     if row is None:
         raise ValueError("No such site.")
-    if "reason" in sites.columns and row["reason"] is not None:
+    if row["reason"] is not None:
         raise ValueError(f"The site is not valid: {row['reason']}.")
-    site = sites.sparkSession.createDataFrame([row], sites.schema).drop(
-        *LINE_ORDER, "value", "reason"
-    )
+    site = sites.drop(*LINE_ORDER, "value", "reason")
     match = labels.filter(
         (F.col("transcript_id") == row["transcript_id"])
         & (F.col("transcript_position") == row["transcript_position"])

@@ -10,7 +10,7 @@ from sitesignal.operators.joins import attach_labels, orphan_labels, unlabelled_
 from sitesignal.plans.ingest import audit_path, ingest
 from sitesignal.plans.ingest_job import main
 from sitesignal.schema import LABELLED_READS_SCHEMA, READS_SCHEMA
-from sitesignal.sources.labels import read_labels
+from sitesignal.sources.labels import prepare_labels, read_labels
 from sitesignal.sources.reads import preview, read_reads
 from sitesignal.sources.signals import (
     duplicate_sites,
@@ -306,3 +306,42 @@ def test_lookup_of_one_site(spark):
         lookup_site(parsed, labels, "T9", 1)
     with pytest.raises(ValueError, match="one matching label"):
         lookup_site(parsed, labels.union(labels))
+
+
+def test_first_lines_take_two_jobs_whatever_the_blanks(spark, tmp_path):
+    from sitesignal.sources.signals import first_lines, read_lines, skip_blank_lines
+
+    jobs = []
+    for blanks in (1, 40):
+        path = tmp_path / f"lines{blanks}.txt"
+        path.write_text("a\nb\nc\n" + "\n" * blanks + "d\n" + "\n" * blanks + "e\n")
+        group = f"first-lines-{blanks}"
+        spark.sparkContext.setJobGroup(group, "first lines")
+        found = first_lines(skip_blank_lines(read_lines(spark, str(path))), 4)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        spark.sparkContext.setJobGroup("rest", "rest")
+        assert [r.value for r in found.collect()] == ["a", "b", "c", "d"]
+    assert jobs[0] == jobs[1]
+
+
+def test_plain_text_is_not_shuffled_beside_a_gz_file(spark, tmp_path):
+    import gzip
+
+    from sitesignal.sources.signals import read_lines
+
+    (tmp_path / "a.txt").write_text("x\ny\n")
+    with gzip.open(tmp_path / "b.txt.gz", "wt") as f:
+        f.write("z\n")
+    lines = read_lines(spark, str(tmp_path))
+    assert sorted(r.value for r in lines.collect()) == ["x", "y", "z"]
+    assert sorted(r.value for r in read_lines(spark, str(tmp_path / "a.txt")).collect()) == ["x", "y"]
+
+
+@pytest.mark.parametrize("text, good", [("0.5", True), ("5e-1", True), (" .5", True), ("0.5f", False), ("0.5d", False), ("0x1", False), ("inf", False)])
+def test_label_texts_that_are_numbers(spark, text, good):
+    raw = spark.createDataFrame([("T1", "1", text)], "transcript_id string, transcript_position string, label string")
+    if good:
+        assert prepare_labels(raw).first().label == 0.5
+    else:
+        with pytest.raises(ValueError):
+            prepare_labels(raw)

@@ -121,15 +121,14 @@ def test_summaries(reads):
     assert tuple(table.first()) == ("x", 46, 5, 3, 2, 1, 25.0, 5.0, 1, 25)
 
 
-@pytest.mark.parametrize("limit", [1000, 2, 1])
-def test_describe_on_both_paths(reads, limit):
+def test_describe(reads):
     sites = s.site_table(reads)
-    row = m.describe(sites, "n_reads", m.COVERAGE_PERCENTILES, value_limit=limit).first()
+    row = m.describe(sites, "n_reads", m.COVERAGE_PERCENTILES).first()
     values = [5, 12, 3, 25, 1]
     assert (row["count"], row["mean"], row["min"], row["max"]) == (5, 9.2, 1.0, 25.0)
     for p in m.COVERAGE_PERCENTILES:
         assert row[m.percentile_name(p)] == pytest.approx(linear_quantile(values, p))
-    grouped = {r.label: r for r in m.describe(sites, "n_reads", by="label", value_limit=limit).collect()}
+    grouped = {r.label: r for r in m.describe(sites, "n_reads", by="label").collect()}
     assert set(grouped) == {0.0, 1.0}
     assert grouped[0.0]["p50"] == 3 and grouped[1.0]["std"] is None
 
@@ -149,67 +148,43 @@ def test_quantiles_of_awkward_values(spark):
     rng.shuffle(data)
     df = spark.createDataFrame(data, "k string, v double").repartition(5)
     probs = [0.0, 0.1, 0.25, 0.5, 1.0]
-    for limit in [4, 100_000]:
-        got = {r.k: r["q_v"] for r in grouped_quantiles(df, ["k"], ["v"], probs, value_limit=limit).collect()}
-        assert set(got) == set(groups)
-        for k, values in groups.items():
-            if k == "infinite" and limit > 4:
-                continue
-            for p, value in zip(probs, got[k]):
-                want = linear_quantile(values, p)
-                assert (math.isnan(want) and math.isnan(value)) or value == pytest.approx(want, rel=1e-12), (k, p)
-    whole = grouped_quantiles(df.filter("k = 'ties'"), [], ["v"], [0.5], value_limit=3).first()
+    got = {r.k: r["q_v"] for r in grouped_quantiles(df, ["k"], ["v"], probs).collect()}
+    assert set(got) == set(groups)
+    for k, values in groups.items():
+        for p, value in zip(probs, got[k]):
+            want = linear_quantile(values, p)
+            assert (math.isnan(want) and math.isnan(value)) or value == pytest.approx(want, rel=1e-12), (k, p)
+    whole = grouped_quantiles(df.filter("k = 'ties'"), [], ["v"], [0.5]).first()
     assert list(whole["q_v"]) == [1.0]
 
 
-def test_many_large_groups_need_no_broadcast(spark, monkeypatch):
-    from sitesignal.operators import quantiles
-
-    monkeypatch.setattr(quantiles, "BROADCAST_GROUP_LIMIT", 3)
+def test_many_groups_and_any_aggregate_name(spark):
     df = spark.range(300).select((F.col("id") % 8).alias("k"), (F.col("id") * 37 % 101).cast("double").alias("v"))
-    got = {r.k: list(r["q_v"]) for r in grouped_quantiles(df, ["k"], ["v"], [0.25, 0.5], value_limit=10).collect()}
+    counts = [F.count("*").alias("_n_rows")]
+    got = {r.k: r for r in grouped_quantiles(df, ["k"], ["v"], [0.25, 0.5], counts).collect()}
     for k in range(8):
         values = [i * 37 % 101 for i in range(300) if i % 8 == k]
-        assert got[k] == pytest.approx([linear_quantile(values, 0.25), linear_quantile(values, 0.5)])
+        assert got[k]["_n_rows"] == len(values)
+        assert list(got[k]["q_v"]) == pytest.approx([linear_quantile(values, 0.25), linear_quantile(values, 0.5)])
 
 
-def test_frequencies(reads):
-    sites = s.site_table(reads)
-    counts = f.crosstab(sites, "sequence")
-    assert rows(counts) == [("AAGACCA", 1, 1), ("CGGACTT", 2, 0)]
-    assert rows(f.column_percentages(counts)) == [
-        ("AAGACCA", pytest.approx(100 / 3), 100.0), ("CGGACTT", pytest.approx(200 / 3), 0.0)
-    ]
-    assert [r[0] for r in f.top_keys(counts, 1).collect()] == ["AAGACCA"]
-    zeros = f.column_percentages(f.crosstab(sites.filter("label = 0"), "sequence"))
-    assert {r["label_1"] for r in zeros.collect()} == {None}
-    assert rows(f.motif_summary(sites)) == [("AGACC", 1, 1, 2, 0.5), ("GGACT", 2, 0, 2, 0.0)]
-    half = sites.withColumn("label", F.lit(0.5))
-    assert f.motif_summary(half).first()["positive_fraction"] is None
-    assert f.crosstab(half, "sequence", None).columns == ["sequence", "label_0_5"]
-    assert rows(f.kmer_by_label(half, "sequence", 1)) == [("AAGACCA", 40.0)]
-    assert [tuple(r) for r in f.value_counts(sites, "sequence", 2).collect()] == [("AAGACCA", 2), ("CGGACTT", 2)]
-    with pytest.raises(ValueError, match="No annotated sites"):
-        f.kmer_by_label(sites.filter("label IS NULL"), "sequence")
-    many = sites.sparkSession.range(11).select(F.lit("A").alias("sequence"), (F.col("id") / 11).alias("label"))
-    with pytest.raises(ValueError, match="More than 10"):
-        f.kmer_by_label(many, "sequence")
-
-
-def test_histogram_edges(spark):
-    values = [0.0, 0.05, 0.1, 0.15, 0.3, 0.95, 1.0, 1.0]
-    df = spark.createDataFrame([(v,) for v in [*values, 1.5, -0.1, None, float("nan")]], "x double")
-    got = d.histogram(df, "x", 20, 0, 1).orderBy("bin").collect()
-    edges = [i * 0.05 for i in range(20)] + [1.0]
-    for i, row in enumerate(got):
-        last = i == 19
-        want = sum(edges[i] <= v and (v < edges[i + 1] or (last and v <= 1)) for v in values)
-        assert row["count"] == want, row
-    assert got[19]["upper"] == 1.0 and sum(r["count"] for r in got) == 8
-    logs = d.histogram(spark.createDataFrame([(1,), (10,), (1000,), (0,)], "x int"), "x", 3, log=True)
-    assert [(r.lower, r["count"]) for r in logs.orderBy("bin").collect()] == [(0.0, 1), (1.0, 1), (2.0, 1)]
-    same = d.histogram(spark.createDataFrame([(5.0,)] * 4, "x double"), "x", 4)
-    assert [(r.lower, r["count"]) for r in same.orderBy("bin").collect()] == [(4.5, 0), (4.75, 0), (5.0, 4), (5.25, 0)]
+def test_missing_groups_and_text_values(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (float("nan"), 2.0), (None, 3.0)], "label double, x double")
+    assert [r.label for r in m.describe(df, "x", by="label").collect()] == [0.0]
+    text = spark.createDataFrame([(0.0, "1.5"), (0.0, "many")], "label double, x string")
+    for table in (d.box_stats, lambda df, columns: d.density_by_label(df, columns)):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            table(text, ["x"]).collect()
+
+
+def test_labels_that_agree_in_six_digits(spark):
+    rows = [("k", 0.1234567), ("k", 0.1234568), ("k", 1.0), ("k", 0.25)]
+    df = spark.createDataFrame(rows, "central_5mer string, label double")
+    want = ["central_5mer", "label_0_1234567", "label_0_1234568", "label_0_25", "label_1"]
+    assert f.crosstab(df, "central_5mer", None).columns == want
+    assert f.kmer_by_label(df, "central_5mer").first()["label_0_1234568"] == 100.0
+    many = spark.range(12).select((F.col("id") / 16).alias("label"), F.col("id").cast("double").alias("x"))
+    assert d.box_stats(many, ["x"], None).count() == 12
 
 
 def test_density_integrates_to_one(reads):
@@ -222,11 +197,10 @@ def test_density_integrates_to_one(reads):
     assert all(v == pytest.approx(1) for v in total.values())
 
 
-@pytest.mark.parametrize("limit", [1000, 1])
-def test_box_stats(spark, limit):
+def test_box_stats(spark):
     values = {0.0: [1.0, 2.0, 3.0, 4.0, 100.0, float("nan")], 1.0: [5.0, -90.0, 5.5, 6.0, 6.5, 7.0, float("inf")]}
     df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [(None, 3.0), (0.5, 3.0)], "label double, x double")
-    got = {r.label: r for r in d.box_stats(df, ["x"], value_limit=limit).collect()}
+    got = {r.label: r for r in d.box_stats(df, ["x"]).collect()}
     assert set(got) == {0.0, 1.0}
     for label, vs in values.items():
         vs = [v for v in vs if math.isfinite(v)]
@@ -236,7 +210,7 @@ def test_box_stats(spark, limit):
         r = got[label]
         assert (r.n, r.q1, r["median"], r.q3) == (len(vs), q1, q2, q3)
         assert (r.low_whisker, r.high_whisker) == (min(low, q1), max(high, q3))
-    assert {r.label for r in d.box_stats(df, ["x"], None, limit).collect()} == {0.0, 0.5, 1.0}
+    assert {r.label for r in d.box_stats(df, ["x"], None).collect()} == {0.0, 0.5, 1.0}
     assert rows(d.excluded_rows(df, ["x"])) == [("x", 3)]
 
 

@@ -9,7 +9,7 @@ from sitesignal.llm.common import settle
 
 SWEEPS = 10
 SETTLED_EVERY = 5
-TEMPER = 0.7
+TEMPER = 0.9
 #: Categories kept apart in each marginal; lighter ones are pooled.
 MOST = {"source": 64, "lang": 32}
 DIMENSIONS = ("source", "lang", "topic")

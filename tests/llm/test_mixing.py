@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from sitesignal.llm.mixing import DIMENSIONS, mix
+from sitesignal.llm.mixing import DIMENSIONS, TEMPER, mix
 
 DATA = "/root/testdata/sf0.01"
 
@@ -18,9 +18,9 @@ def test_kept_weight_has_the_target_shares(spark):
         for r in rows:
             seen[r[d]] = seen.get(r[d], 0) + r.weight
             kept[r[d]] = kept.get(r[d], 0) + r.weight * r.p
-        norm = sum((w / total) ** 0.7 for w in seen.values())
+        norm = sum((w / total) ** TEMPER for w in seen.values())
         for k, w in seen.items():
-            assert abs(kept[k] / mass - (w / total) ** 0.7 / norm) < 5e-3
+            assert abs(kept[k] / mass - (w / total) ** TEMPER / norm) < 5e-3
     assert abs(sum(r.weight for r in rows if r.sampled) / mass - 1) < 0.2
 
 

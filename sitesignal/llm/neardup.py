@@ -248,14 +248,21 @@ def _text_classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
 
     def sized(df, x):
         return df.join(sizes, "tid").select(
-            "band", *(F.col(c).alias(f"{c}_{x}") for c in ("tid", "root", "n", "shared"))
+            *(F.col(c).alias(f"{c}_{x}") for c in ("band", "tid", "root", "n", "shared", "bands"))
         )
 
-    others = open_bands.where(F.col("tid") != F.col("pivot"))
+    # Where a text is left over, and all bands of the others: a pair is looked
+    # at in the first bucket of those that it shares.
+    where_left = rest.groupBy("tid").agg(F.collect_set("band").alias("bands"))
+    left = sized(rest.join(where_left, "tid"), "a")
+    others = open_bands.where(F.col("tid") != F.col("pivot")).join(texts.select("tid", "bands"), "tid")
     possible = F.least("shared_a", "shared_b") * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6
-    second = sized(rest, "a").join(
-        sized(others, "b").withColumnRenamed("band", "band_b"),
-        (F.col("band") == F.col("band_b")) & (F.col("root_a") != F.col("root_b")) & possible,
+    second = left.join(
+        sized(others, "b"),
+        (F.col("band_a") == F.col("band_b"))
+        & (F.col("root_a") != F.col("root_b"))
+        & possible
+        & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band_a")),
     )
     second = second.select(F.least("tid_a", "tid_b").alias("a"), F.greatest("tid_a", "tid_b").alias("b")).distinct()
     more = settle(verified(second, sets, threshold).select("a", "b"))

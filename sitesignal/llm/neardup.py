@@ -247,22 +247,24 @@ def _text_classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     sizes = settle(shared_shingles(sets.join(open_bands.select("tid").distinct(), "tid", "left_semi")))
 
     def sized(df, x):
-        return df.join(sizes, "tid").select(
-            *(F.col(c).alias(f"{c}_{x}") for c in ("band", "tid", "root", "n", "shared", "bands"))
+        df = df.join(sizes, "tid").join(texts.select("tid", "bands"), "tid")
+        return df.select(
+            *(F.col(c).alias(f"{c}_{x}") for c in ("band", "tid", "root", "n", "shared", "bands", "open"))
         )
 
-    # Where a text is left over, and all bands of the others: a pair is looked
-    # at in the first bucket of those that it shares.
-    where_left = rest.groupBy("tid").agg(F.collect_set("band").alias("bands"))
-    left = sized(rest.join(where_left, "tid"), "a")
-    others = open_bands.where(F.col("tid") != F.col("pivot")).join(texts.select("tid", "bands"), "tid")
+    # ``open``: the bands in which a text is left over. A pair is looked at once, in
+    # the first open bucket that it shares, from the smaller side if both are left over.
+    where_left = settle(rest.groupBy("tid").agg(F.collect_set("band").alias("open")))
+    others = open_bands.where(F.col("tid") != F.col("pivot")).join(where_left, "tid", "left")
     possible = F.least("shared_a", "shared_b") * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6
-    second = left.join(
+    other_side = F.coalesce(F.arrays_overlap("open_b", "bands_a"), F.lit(False))
+    second = sized(rest.join(where_left, "tid"), "a").join(
         sized(others, "b"),
         (F.col("band_a") == F.col("band_b"))
         & (F.col("root_a") != F.col("root_b"))
         & possible
-        & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band_a")),
+        & ((F.col("tid_a") < F.col("tid_b")) | ~other_side)
+        & (F.array_min(F.array_intersect("open_a", "bands_b")) == F.col("band_a")),
     )
     second = second.select(F.least("tid_a", "tid_b").alias("a"), F.greatest("tid_a", "tid_b").alias("b")).distinct()
     more = settle(verified(second, sets, threshold).select("a", "b"))

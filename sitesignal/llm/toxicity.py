@@ -108,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, term
     With no labelled text the score is a constant.
     """
     labels = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
+    # The labels grow with the documents, so they are never broadcast: one plan at every size.
+    labelled = docs.select("doc_id", "text").join(labels.hint("merge"), "doc_id").select("text", "toxic")
 
     def prepare():
         memory = Memory(bucket)

@@ -98,6 +98,21 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def text_bands(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The distinct band keys of each shingle set (elements, counts); none for an empty one.
+
+    A set with a repeated shingle has the bands of its weights and those of equal
+    weights, from the same arrivals. Links are decided by plain Jaccard, which equal
+    weights estimate; without repeats both are the same, so all texts meet in them.
+    """
+    keys = [[k] if len(e) else [] for k, (e, _) in zip(band_keys(prob_min_hash([(e, weights(c)) for e, c in sets])), sets, strict=True)]
+    repeats = [i for i, (_, c) in enumerate(sets) if (c > 1).any()]
+    plain = band_keys(prob_min_hash([(sets[i][0], np.ones(len(sets[i][0]))) for i in repeats]))
+    for i, k in zip(repeats, plain, strict=True):
+        keys[i].append(k)
+    return [np.unique(np.concatenate(k)) if k else np.zeros(0, np.int64) for k in keys]
+
+
 def text_id(column: str = "text"):
     return F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary"))
 
@@ -110,9 +125,7 @@ def banded_texts(docs: DataFrame) -> DataFrame:
 
         def step(part):
             sets = [shingles(t or "", memory) for t in part["text"]]
-            keys = band_keys(prob_min_hash([(e, weights(c)) for e, c in sets]))
-            keys = [list(k) if len(e) else [] for k, (e, _) in zip(keys, sets, strict=True)]
-            return [part["rep"], part["tid"], keys]
+            return [part["rep"], part["tid"], text_bands(sets)]
 
         return step
 
@@ -278,8 +291,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     A class holds equal texts and all texts joined by chains of pairs whose sets
     of five-word shingles have a Jaccard of at least ``threshold``. Candidates
-    come from 20 bands of 5 ProbMinHash registers: a pair of just 0.8 is missed
-    with a probability of 0.0004. Words are compared in lower case without outer signs.
+    come from 20 bands of 5 ProbMinHash registers, and where a text repeats shingles
+    from 20 more with equal weights, so that however often either text repeats them
+    a pair of just 0.8 is missed with a probability of at most 0.0004. Words are
+    compared in lower case without outer signs.
 
     ``kept`` marks the one text of the class that is its document of smallest id
     (of equal ids the smallest hash); rows that repeat it are marked alike. Null texts

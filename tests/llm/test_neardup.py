@@ -68,6 +68,22 @@ def test_chains_and_large_groups(spark):
     assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == classes(docs.collect())
 
 
+def test_texts_that_repeat_shingles_differently(spark):
+    """Their set Jaccard is 0.8 or more, their probability Jaccard far lower."""
+    rows = []
+    for k in range(40):
+        line = " ".join(f"r{k}x{i}" for i in range(30)) + " "
+        own = " ".join(f"o{k}x{i}" for i in range(70))
+        rows += [(10 * k, line * 50 + own), (10 * k + 1, line * 2 + own)]
+        base = " ".join(f"b{k}x{i}" for i in range(100))
+        extra = " ".join(f"e{k}x{i}" for i in range(16)) + " "
+        rows += [(10 * k + 4, base), (10 * k + 5, f"{base} " + extra * 20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = classes(docs.collect())
+    assert all(expected[10 * k + 1] == 10 * k and expected[10 * k + 5] == 10 * k + 4 for k in range(40))
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == expected
+
+
 def test_components(spark):
     links = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("x", "y"), ("z", "y")], "a string, b string")
     assert dict(components(links).collect()) == {**dict.fromkeys("abcd", "a"), **dict.fromkeys("xyz", "x")}

@@ -10,10 +10,9 @@ from sitesignal.llm.common import settle
 SWEEPS = 10
 SETTLED_EVERY = 5
 TEMPER = 0.9
-#: Categories kept apart in each marginal; lighter ones are pooled.
-MOST = {"source": 64, "lang": 32}
+#: Counted cells or categories up to which a table is broadcast and the cells sit in one partition.
+FEW = 10_000
 DIMENSIONS = ("source", "lang", "topic")
-OTHER = "(other)"
 NONE = "(none)"
 
 #: About one token for four bytes.
@@ -34,38 +33,52 @@ def _named(name: str) -> str:
     return f"__{name}"
 
 
-def raked_cells(weights: DataFrame, targets: dict[str, dict[str, float]] | None, sweeps: int, temper: float) -> DataFrame:
-    """Cells (one per combination of categories) with their observed weight and the factor p.
+def wanted_shares(cells: DataFrame, key: str, given: dict[str, float] | None, total: float, temper: float) -> tuple[DataFrame, int]:
+    """The target share of each observed category, as a column named ``key``_want, and how many there are."""
+    sums = cells.groupBy(key).agg(F.sum("__w").alias("__sum"))
+    if given:
+        named = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{key} string, __given double")
+        sums = sums.join(named, key, "left").withColumn("__want", F.coalesce("__given", F.lit(0.0)))
+    else:
+        sums = sums.withColumn("__want", F.pow(F.col("__sum") / F.lit(total), F.lit(temper)))
+    sums = settle(sums.select(key, "__want"))
+    n, norm = sums.agg(F.count("*"), F.sum("__want")).first()
+    return sums.select(key, (F.col("__want") / F.lit(norm or 1.0)).alias(f"{key}_want")), n
 
-    A bounded number of cells: at most 64 sources, 32 languages and the topics.
-    They sit in one partition, in which each step of a sweep is a window sum.
+
+def raked_cells(
+    sums: DataFrame, targets: dict[str, dict[str, float]] | None, sweeps: int, temper: float, few: int = FEW
+) -> tuple[DataFrame, int]:
+    """Cells (one per combination of categories) with the factor p and __docs, and how many there are.
+
+    Up to ``few`` counted cells sit in one partition, in which each step of a sweep
+    is a window sum. With more, each step groups the cells by category and
+    joins the sums back, broadcast where the counted categories are few.
     """
     keys = [_named(d) for d in DIMENSIONS]
-    cells = weights.groupBy(*keys).agg(F.sum("__weight").cast("double").alias("__w")).coalesce(1)
-    over = {k: Window.partitionBy(k) for k in keys}
-    everything = Window.partitionBy(F.lit(1))
-    cells = cells.where(F.col("__w") > 0).withColumn("__total", F.sum("__w").over(everything))
+    cells = sums.withColumn("__w", F.col("__weight").cast("double")).where(F.col("__w") > 0)
+    n, total = cells.agg(F.count("*"), F.coalesce(F.sum("__w"), F.lit(1.0))).first()
+    one, categories = n <= few, {}
+    observed = cells
     for name, key in zip(DIMENSIONS, keys, strict=True):
-        given = (targets or {}).get(name)
-        if given:
-            pairs = [F.lit(x) for item in given.items() for x in item]
-            wanted = F.coalesce(F.element_at(F.create_map(*pairs), F.col(key)).cast("double"), F.lit(0.0))
-        else:
-            wanted = F.pow(F.sum("__w").over(over[key]) / F.col("__total"), F.lit(temper))
-        cells = cells.withColumn(f"{key}_want", wanted).withColumn("__n", F.count("*").over(over[key]))
-        norm = F.sum(F.col(f"{key}_want") / F.col("__n")).over(everything)
-        cells = cells.withColumn(f"{key}_want", F.col(f"{key}_want") / norm)
-    cells = cells.withColumn("__r", F.col("__w") / F.col("__total"))
+        wanted, categories[key] = wanted_shares(observed, key, (targets or {}).get(name), total, temper)
+        cells = cells.join(F.broadcast(wanted) if categories[key] <= few else wanted, key)
+    cells = cells.withColumn("__r", F.col("__w") / F.lit(total))
     for sweep in range(sweeps):
-        if sweep % SETTLED_EVERY == 0:  # keeps the plan short
-            cells = settle(cells).coalesce(1)
+        if not one or sweep % SETTLED_EVERY == 0:  # keeps the plan short
+            cells = settle(cells)
+            cells = cells.coalesce(1) if one else cells
         for key in keys:
-            cells = cells.withColumn("__s", F.sum("__r").over(over[key]))
+            if one:
+                cells = cells.withColumn("__s", F.sum("__r").over(Window.partitionBy(key)))
+            else:
+                now = settle(cells.groupBy(key).agg(F.sum("__r").alias("__s")))
+                cells = cells.drop("__s").join(F.broadcast(now) if categories[key] <= few else now, key)
             scaled = F.col("__r") * F.col(f"{key}_want") / F.col("__s")
             cells = cells.withColumn("__r", F.when(F.col("__s") > 0, scaled).otherwise(0.0))
-    factor = F.col("__r") * F.col("__total") / F.col("__w")
-    cells = cells.withColumn("__f", factor)
-    return cells.select(*keys, (F.col("__f") / F.max("__f").over(everything)).alias("__p"))
+    cells = settle(cells.select(*keys, "__docs", (F.col("__r") * F.lit(total) / F.col("__w")).alias("__f")))
+    largest = cells.agg(F.max("__f")).first()[0] or 1.0
+    return cells.select(*keys, "__docs", (F.col("__f") / F.lit(largest)).alias("__p")), n
 
 
 def mix(
@@ -75,6 +88,7 @@ def mix(
     temper: float = TEMPER,
     topic: str = TOPIC,
     weight: str = WEIGHT,
+    few: int = FEW,
 ) -> DataFrame:
     """All rows and columns; adds topic, weight, p and sampled.
 
@@ -86,8 +100,10 @@ def mix(
     without it the observed shares are tempered (share to the power ``temper``,
     scaled to 1), which lifts what is rare. ``sampled`` is decided by a hash of the id.
 
-    Only bounded tables are broadcast (64 source and 32 language names, their
-    cells), so the documents are never shuffled. A null source or language is a category of its
+    All observed cells are raked. Only tables counted or cut at ``few`` rows are
+    broadcast: with up to that many cells the documents are not shuffled; with more, those
+    of the ``few`` cells of most documents are not, and the others are joined to
+    their cells. A null source or language is a category (``(none)``) of its
     own; a null or empty text has no weight and is kept (p is 1); rows of one
     id share its chance; a null id takes its text's; columns named like a
     result are replaced. An empty table gives an empty one.
@@ -98,26 +114,11 @@ def mix(
             F.coalesce("source", F.lit(NONE)).alias("__source"),
             F.coalesce("lang", F.lit(NONE)).alias("__lang"),
             F.col("topic").alias("__topic"),
-        ).agg(F.sum("weight").alias("__weight"))
+        ).agg(F.sum("weight").alias("__weight"), F.count("*").alias("__docs"))
     )
 
-    def heaviest(name: str) -> DataFrame:
-        sums = slim.groupBy(_named(name)).agg(F.sum("__weight").alias("__sum"))
-        top = sums.orderBy(F.desc("__sum"), _named(name)).limit(MOST[name] - 1)
-        return top.select(F.col(_named(name)).alias("__raw"), F.col(_named(name)).alias("__kept"))
-
-    tops = {name: heaviest(name) for name in MOST}
-
-    def pooled(df: DataFrame, name: str) -> DataFrame:
-        top = F.broadcast(tops[name])
-        df = df.withColumnRenamed(_named(name), "__now")
-        df = df.join(top, F.col("__now") == F.col("__raw"), "left")
-        return df.withColumn(_named(name), F.coalesce("__kept", F.lit(OTHER))).drop("__now", "__raw", "__kept")
-
-    weights = slim
-    for name in MOST:
-        weights = pooled(weights, name)
-    cells = settle(raked_cells(weights, targets, sweeps, temper))
+    cells, n = raked_cells(slim, targets, sweeps, temper, few)
+    cells = settle(cells)
 
     rows = rows.withColumns(
         {
@@ -126,10 +127,15 @@ def mix(
             "__topic": F.col("topic"),
         }
     )
-    for name in MOST:
-        rows = pooled(rows, name)
     keys = [_named(d) for d in DIMENSIONS]
-    rows = rows.join(F.broadcast(cells), keys, "left")
+    if n <= few:
+        rows = rows.join(F.broadcast(cells.drop("__docs")), keys, "left")
+    else:
+        first = settle(cells.orderBy(F.desc("__docs"), *keys).limit(few))
+        others = cells.join(F.broadcast(first), keys, "left_anti").drop("__docs")
+        rows = rows.join(F.broadcast(first.drop("__docs")), keys, "left")
+        found = F.col("__p").isNotNull() | (F.col("weight") == 0)
+        rows = rows.where(found).unionByName(rows.where(~found).drop("__p").join(others, keys, "left"))
     p = F.when(F.col("weight") == 0, 1.0).otherwise(F.coalesce("__p", F.lit(0.0)))
     return (
         rows.withColumn("p", p)

@@ -32,6 +32,47 @@ def test_given_targets(spark):
     assert mass["de"] == 0 and abs(mass["fr"] / mass["en"] - 3) < 0.05
 
 
+def raked(rows, targets=None, sweeps=10):
+    """p by cell, by plain loops."""
+    names = [(r.source or "(none)", r.lang or "(none)", r.topic) for r in rows]
+    w = {}
+    for c, r in zip(names, rows):
+        w[c] = w.get(c, 0) + r.weight
+    w = {c: x for c, x in w.items() if x}
+    total, want = sum(w.values()), []
+    for i, d in enumerate(DIMENSIONS):
+        sums = {}
+        for c, x in w.items():
+            sums[c[i]] = sums.get(c[i], 0) + x
+        given = (targets or {}).get(d)
+        shares = {k: given.get(k, 0) if given else (x / total) ** TEMPER for k, x in sums.items()}
+        want.append({k: x / sum(shares.values()) for k, x in shares.items()})
+    r = {c: x / total for c, x in w.items()}
+    for _ in range(sweeps):
+        for i in range(3):
+            sums = {}
+            for c, x in r.items():
+                sums[c[i]] = sums.get(c[i], 0) + x
+            r = {c: x * want[i][c[i]] / sums[c[i]] if sums[c[i]] else 0 for c, x in r.items()}
+    f = {c: r[c] / w[c] for c in w}
+    return [1 if not x.weight else f[c] / max(f.values()) for c, x in zip(names, rows)]
+
+
+@pytest.mark.parametrize("few", [10_000, 7])
+@pytest.mark.parametrize("targets", [None, {"source": {"s99": 0.5, "s0": 0.25, "(none)": 0.25}, "lang": {"l39": 0.5, "l0": 0.5}}])
+def test_many_sources_and_languages(spark, few, targets):
+    """More categories than were once kept apart, the lightest of which are named; both ways to rake."""
+    rows = [(1000 * k + j, "x" * (4 * (100 - k) + 300 * (j % 3)), f"s{k}", f"l{(k + j) % 40}") for k in range(100) for j in range(6)]
+    rows += [(10**6 + j, "y" * (30 + j), None, None if j % 2 else "l0") for j in range(8)]
+    rows += [(10**7 + j, "y" * 90, f"s{99 * (j % 2)}", "l39" if j < 4 else "l0") for j in range(8)]
+    rows += [(10**8, "", "s3", "l3"), (10**8 + 1, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    out = mix(docs, targets, few=few).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows)
+    assert [r.p for r in out] == pytest.approx(raked(out, targets), abs=1e-9)
+    assert not targets or any(r.p > 0 and r.source == "s99" and r.weight for r in out)
+
+
 def test_odd_documents(odd_docs, no_docs):
     out = mix(odd_docs)
     rows = out.collect()

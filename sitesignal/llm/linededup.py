@@ -145,8 +145,10 @@ def dedup_lines(docs: DataFrame, noise: int = NOISE_WORDS, run: int = RUN_WORDS)
     """All rows and columns, ``text`` without later repeated runs; adds n_lines and removed_lines.
 
     A run of lines with ``run`` or more words that occurred before, in a
-    document with a smaller id or further up in the same one, is deleted in
-    full; of runs with ``noise`` to ``run`` words some are; shorter ones never.
+    document with a smaller id or further up in the same one, is deleted but for
+    fewer than ``run`` words at either end: a fingerprint is matched to its first place only, so
+    where that place's match ends before a later place's would, the ends can stay. Of
+    runs with ``noise`` to ``run`` words some are deleted; shorter ones never.
     Of every deleted line an equal one stays elsewhere. ``removed_lines`` are
     the deleted line numbers from 0; a text of which only blank lines would stay becomes
     empty.

@@ -149,6 +149,8 @@ def dedup_lines(docs: DataFrame, noise: int = NOISE_WORDS, run: int = RUN_WORDS)
     fewer than ``run`` words at either end: a fingerprint is matched to its first place only, so
     where that place's match ends before a later place's would, the ends can stay. Of
     runs with ``noise`` to ``run`` words some are deleted; shorter ones never.
+    Only whole lines count: of a passage that begins or ends inside a line its whole
+    lines are seen, and one inside a single line is not seen at all.
     Of every deleted line an equal one stays elsewhere. ``removed_lines`` are
     the deleted line numbers from 0; a text of which only blank lines would stay becomes
     empty.

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitesignal.sources.scratch import scratch_path, settle, shared_folder
+
+__all__ = ["arrow_rows", "folds", "map_batches", "numbered", "scratch_path", "settle", "shared_folder", "slices"]
+
 ARROW = {
     "bigint": pa.int64(),
     "int": pa.int32(),
@@ -23,32 +25,6 @@ ARROW = {
 }
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where it is unset (a local session, as in tests) a temporary folder is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it from there.
-
-    Cuts the lineage and survives lost executors; what follows can read it
-    more than once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Lower the rows of an Arrow batch for jobs whose rows are large; they run inside."""

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitesignal.llm.divergence import LEAST_DOCS, TERM_RANKS, source_divergence
 from sitesignal.llm.langid import identify
 from sitesignal.llm.linededup import dedup_lines
 from sitesignal.llm.mixing import SWEEPS, TEMPER, TOPIC, mix
 from sitesignal.llm.neardup import near_duplicates
+from sitesignal.llm.negatives import hard_negatives
 from sitesignal.llm.packing import pack
 from sitesignal.llm.rules import RULES, STOP_WORDS, judge
 from sitesignal.llm.sharding import shard
+from sitesignal.llm.simhash import simhash_components
 from sitesignal.llm.spots import edited_fingerprints
 from sitesignal.llm.tokens import prefix_token_counts
 from sitesignal.llm.toxicity import rate
@@ -63,6 +66,18 @@ def op10_near_duplicates(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return source_divergence(documents(spark, sf_dir))
+
+
+def op13_simhash(spark, sf_dir):
+    return simhash_components(documents(spark, sf_dir))
+
+
 LLM_QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -74,6 +89,9 @@ LLM_QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_simhash": op13_simhash,
 }
 _STOP = "', '".join(STOP_WORDS)
 
@@ -143,4 +161,72 @@ FROM rows JOIN p ON p.source = rows.source AND p.lang = rows.lang AND p.topic =
 """
 
 
-LLM_ORACLE: dict[str, str] = {"op7_mixing": mixing_sql(), "op9_quality_rules": QUALITY_SQL}
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_inner_product(a.c, b.c) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+    AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+DIVERGENCE_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+words AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+seen AS (SELECT id, lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+kept AS (SELECT lang, term FROM seen GROUP BY ALL HAVING count(*) >= {LEAST_DOCS}),
+cells AS (
+  SELECT lang, source, term, CAST(sum(n) AS HUGEINT) AS n FROM seen SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+totals AS (
+  SELECT g.lang, g.source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS n
+  FROM g LEFT JOIN cells ON cells.lang = g.lang AND cells.source = g.source GROUP BY ALL),
+p AS (
+  SELECT kept.lang, totals.source, kept.term, coalesce(cells.n, 0) AS n,
+    1 + (1000000000 * (coalesce(cells.n, 0) + 1)) // (totals.n + v.v) AS p
+  FROM kept JOIN totals ON totals.lang = kept.lang JOIN v ON v.lang = kept.lang
+  LEFT JOIN cells ON cells.lang = kept.lang AND cells.source = totals.source AND cells.term = kept.term),
+q AS (
+  SELECT lang, term, 1 + (1000000000 * (sum(n) + 1)) // (whole + v) AS q
+  FROM cells JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS whole FROM totals GROUP BY lang) AS w USING (lang)
+  GROUP BY lang, term, whole, v),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, ((p - q) * (p - q)) // q
+  FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= {TERM_RANKS}
+"""
+
+
+LLM_ORACLE: dict[str, str] = {
+    "op7_mixing": mixing_sql(),
+    "op9_quality_rules": QUALITY_SQL,
+    "op11_hard_negatives": NEGATIVES_SQL,
+    "op12_source_divergence": DIVERGENCE_SQL,
+}

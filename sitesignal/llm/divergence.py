@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ LEAST_DOCS = 3
 UNIT = 1_000_000_000
 TERM_RANKS = 200
 #: Held by a task before it spills: a stripe counts as three cells, each of its sources as one.
-CELLS = 1_000_000
+CELLS = 2_000_000
 ROWS_AT_ONCE = 20_000
 #: Kept terms of a language that meet in one task, and numbers of an intermediate table there.
 TERMS_AT_ONCE = 16_384
@@ -40,17 +42,42 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(TO_TERMS).split()
 
 
-def _batches(rows):
-    """Record batches of stripes from (lang, term, df, {source: count})."""
-    columns = [[] for _ in STRIPE]
-    for lang, term, df, counts in rows:
-        for column, value in zip(columns, (lang, term, df, list(counts), list(counts.values())), strict=True):
-            column.append(value)
-        if len(columns[0]) >= ROWS_AT_ONCE:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, STRIPE, strict=True)], schema=STRIPE)
-            columns = [[] for _ in STRIPE]
-    if columns[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, STRIPE, strict=True)], schema=STRIPE)
+def _table(langs, terms, df, lengths, sources, counts) -> pa.RecordBatch:
+    """Stripes, of which the first ``lengths[0]`` sources and counts belong to the first, and so on."""
+    offsets = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (sources, counts)]
+    return pa.RecordBatch.from_arrays([langs, terms, pa.array(df, pa.int64()), *lists], schema=STRIPE)
+
+
+def _spilled(held: dict[str, dict[bytes, dict]]):
+    """Record batches of the stripes {None: df, source: count, ...} by language and term."""
+    for lang, of in held.items():
+        items = iter(of.items())
+        while some := list(islice(items, ROWS_AT_ONCE)):
+            df = [stripe.pop(None) for _, stripe in some]
+            sources = pa.array(list(chain.from_iterable(x for _, x in some)), pa.string())
+            counts = pa.array(list(chain.from_iterable(x.values() for _, x in some)), pa.int64())
+            names = pa.array([t for t, _ in some], pa.binary())
+            yield _table(pa.array([lang] * len(some), pa.string()), names, df, [len(x) for _, x in some], sources, counts)
+
+
+def folded(stripes: pa.Table) -> pa.RecordBatch:
+    """Neighbours of one key as one stripe; ``stripes`` has rows and is sorted by key."""
+    lang, term, df, sources, counts = (stripes.column(f.name).combine_chunks() for f in STRIPE)
+    change = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(lang[1:], lang[:-1]))
+    starts = np.flatnonzero(np.append(True, change.to_numpy(zero_copy_only=False)))
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(term))))
+    codes = sources.flatten().dictionary_encode()
+    width = max(1, len(codes.dictionary))
+    cell = np.repeat(run, sources.value_lengths().to_numpy()) * width + codes.indices.to_numpy()
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(counts.flatten().to_numpy()[order], first) if len(first) else np.zeros(0, np.int64)
+    lengths = np.bincount(cell[first] // width, minlength=len(starts))
+    at = pa.array(starts)
+    names = codes.dictionary.take(pa.array(cell[first] % width))
+    return _table(lang.take(at), term.take(at), np.add.reduceat(df.to_numpy(), starts), lengths, names, pa.array(sums))
 
 
 def stripes(docs: DataFrame, cells: int = CELLS) -> DataFrame:
@@ -62,10 +89,6 @@ def stripes(docs: DataFrame, cells: int = CELLS) -> DataFrame:
 
     def run(batches):
         held, size = {}, 0
-
-        def spilled():
-            return _batches((lang, t, s[None], {k: n for k, n in s.items() if k is not None}) for lang, of in held.items() for t, s in of.items())
-
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
                 of = held.setdefault(lang, {})
@@ -82,9 +105,9 @@ def stripes(docs: DataFrame, cells: int = CELLS) -> DataFrame:
                             stripe[source] = n
                             size += 1
                 if size >= cells:
-                    yield from spilled()
+                    yield from _spilled(held)
                     held, size = {}, 0
-        yield from spilled()
+        yield from _spilled(held)
 
     return docs.mapInArrow(run, STRIPE_DDL)
 
@@ -92,26 +115,19 @@ def stripes(docs: DataFrame, cells: int = CELLS) -> DataFrame:
 def merged_stripes(spills: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     """One stripe for each language and term, of those in at least ``least`` of the language's documents.
 
-    Spills are sorted by key and merged as they pass, so a task holds one stripe.
+    Spills are sorted by key and merged batch by batch as they pass.
     """
 
     def run(batches):
-        def rows():
-            key, df, counts = None, 0, {}
-            for batch in batches:
-                columns = (batch.column(f.name).to_pylist() for f in STRIPE)
-                for lang, term, n, sources, numbers in zip(*columns, strict=True):
-                    if (lang, term) != key:
-                        if df >= least:
-                            yield (*key, df, counts)
-                        key, df, counts = (lang, term), 0, {}
-                    df += n
-                    for source, count in zip(sources, numbers, strict=True):
-                        counts[source] = counts.get(source, 0) + count
-            if df >= least:
-                yield (*key, df, counts)
-
-        return _batches(rows())
+        last = []  # the stripe of the last key so far, which may go on
+        for batch in batches:
+            stripes = folded(pa.Table.from_batches([*last, batch.cast(STRIPE)])) if batch.num_rows else None
+            if stripes is not None:
+                last = [stripes.slice(stripes.num_rows - 1)]
+                stripes = stripes.slice(0, stripes.num_rows - 1)
+                yield stripes.filter(pc.greater_equal(stripes.column("df"), least))
+        for stripe in last:
+            yield stripe.filter(pc.greater_equal(stripe.column("df"), least))
 
     dealt = spills.repartition("lang", "term").sortWithinPartitions("lang", "term")
     return dealt.mapInArrow(run, STRIPE_DDL)
@@ -214,7 +230,7 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     found = left.cogroup(right).applyInArrow(divergences_of_part, "lang string, source string, part string, item string, value bigint")
     found = settle(found)
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    both = pairs.unionByName(found.where("part = 'term'"))
-    ranks = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = both.withColumn("rank", F.row_number().over(ranks))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= TERM_RANKS))
+    own = found.where("part = 'term'")
+    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
+    pairs, own = (df.withColumn("rank", rank) for df in (pairs, own))
+    return pairs.unionByName(own.where(F.col("rank") <= TERM_RANKS))

@@ -236,6 +236,34 @@ def signal_lines(spark, sf_dir, defects: bool = True) -> DataFrame:
     )
 
 
+def scored_sites(spark, sf_dir) -> DataFrame:
+    """Labelled sites with a score of few distinct values, which are exact in binary."""
+    sites = reads(spark, sf_dir, coverage=False).select(*SITE_KEYS, "label").distinct()
+    supplier = F.substring("transcript_id", 2, 20).cast("long")
+    step = (F.col("transcript_position") * 7919 + supplier * 17) % 50
+    raised = F.coalesce(F.col("label"), F.lit(0.0)) * 0.125
+    return sites.withColumn("score", step.cast("double") / 64.0 + raised)
+
+
+def family_sites(spark, sf_dir) -> DataFrame:
+    """Sites whose transcripts are linked by two families of genes; some have no gene."""
+    sites = reads(spark, sf_dir, coverage=False).select(*SITE_KEYS, "label").distinct()
+    supplier = F.substring("transcript_id", 2, 20).cast("long")
+    even = F.concat(F.lit("G"), (supplier % 50).cast("string"))
+    odd = F.concat(F.lit("H"), F.expr("cast(substring(transcript_id, 2) as bigint) div 2").cast("string"))
+    gene = F.when(F.col("transcript_position") % 2 == 1, odd).when(supplier % 11 != 0, even)
+    return sites.withColumn("gene_id", gene)
+
+
+def defective_predictions(spark, sf_dir) -> DataFrame:
+    """Predictions of which some lack their site, repeat it, name another or have no usable score."""
+    rest = F.col("transcript_position") % 10
+    score = F.when(rest == 4, 1.5).when(rest != 5, F.col("score"))
+    good = scored_sites(spark, sf_dir).withColumn("score", score).drop("label").filter(rest != 1)
+    other = good.filter(rest == 2).withColumn("transcript_position", F.col("transcript_position") + 10_000_000_000)
+    return good.unionByName(good.filter(rest == 3)).unionByName(other)
+
+
 def transcript_labels(spark, sf_dir) -> DataFrame:
     """Sites by supplier: one label for all, two labels, or labels that are missing."""
     supplier = F.substring("transcript_id", 2, 20).cast("long")

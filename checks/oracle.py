@@ -409,3 +409,87 @@ FROM given"""
 ORACLE = build()
 ORACLE["lab_checks"] = LABEL_CHECKS
 ORACLE["ent2_features_deep_sites"] = ORACLE["ent2_features"]
+
+SCORED = f""", scored AS (
+  SELECT *, ((transcript_position * 7919 + substr(transcript_id, 2)::BIGINT * 17) % 50)::DOUBLE / 64
+    + coalesce(label, 0) * 0.125::DOUBLE AS score
+  FROM (SELECT DISTINCT {KEYS}, label FROM reads)),
+judged AS (SELECT * FROM scored WHERE label IN (0, 1))"""
+
+
+def ranking(source, by=""):
+    """Mean ranks for the ROC-AUC, precision at each positive for the average precision."""
+    part = f"PARTITION BY {by}" if by else ""
+    tied = f"PARTITION BY {by + ', ' if by else ''}score"
+    listed = f"{by}, " if by else ""
+    return f"""SELECT {listed}count(*) AS rows, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives,
+      {r('''(sum(mean_rank) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2::DOUBLE)
+        / nullif(count(*) FILTER (label = 1) * count(*) FILTER (label = 0), 0)''', 'roc_auc')},
+      {r('avg(tp / above::DOUBLE) FILTER (label = 1)', 'average_precision')}
+    FROM (SELECT *, rank() OVER ({part} ORDER BY score) + (count(*) OVER ({tied}) - 1) / 2::DOUBLE AS mean_rank,
+        count(*) OVER ({part} ORDER BY score DESC) AS above,
+        count(*) FILTER (label = 1) OVER ({part} ORDER BY score DESC) AS tp FROM {source})
+    {'GROUP BY ' + by if by else ''}"""
+
+
+CURVE = """(SELECT *, sum(positives) OVER (ORDER BY score DESC)::BIGINT AS tp, sum(negatives) OVER (ORDER BY score DESC)::BIGINT AS fp
+  FROM (SELECT score, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives FROM judged GROUP BY score))"""
+
+FAMILIES = f""", family AS (
+  SELECT {KEYS}, label, CASE WHEN transcript_position % 2 = 1 THEN concat('H', s // 2) WHEN s % 11 <> 0 THEN concat('G', s % 50) END AS gene_id
+  FROM (SELECT DISTINCT {KEYS}, label, substr(transcript_id, 2)::BIGINT AS s FROM reads))"""
+REACHED = FAMILIES + f""", links AS (
+  SELECT DISTINCT concat('transcript_id=', transcript_id) AS a, concat('gene_id=', gene_id) AS b FROM family WHERE gene_id IS NOT NULL),
+steps AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (
+  SELECT DISTINCT concat('transcript_id=', transcript_id) AS a, concat('transcript_id=', transcript_id) AS b FROM family
+  UNION SELECT reached.a, steps.b FROM reached JOIN steps ON steps.a = reached.b),
+grouped AS (
+  SELECT family.*, g AS "group" FROM family JOIN (SELECT a, min(b) AS g FROM reached GROUP BY a) AS x
+  ON x.a = concat('transcript_id=', transcript_id))"""
+
+
+def side(group, share):
+    return f"CASE WHEN ('0x' || substr(md5(concat('0:', {group})), 1, 8))::BIGINT / 4294967296::DOUBLE < {share} THEN 'test' ELSE 'train' END"
+
+
+def recursive(sql, extra):
+    return on_reads(sql, extra).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def leaking(kind, key):
+    return f"""SELECT '{kind}' AS kind, (SELECT count(*) FROM (SELECT 1 FROM sided WHERE {key} IS NOT NULL
+      GROUP BY {key} HAVING count(DISTINCT side) > 1)) AS leaks"""
+
+
+SITE_KIND = "transcript_id+transcript_position"
+BY_SITE = FAMILIES + f", sided AS (SELECT *, {side(chr(34) + 'k' + chr(34), 0.3)} AS side FROM (SELECT *, concat('transcript_id=', transcript_id, '|transcript_position=', transcript_position) AS k FROM family))"
+REST = "transcript_position % 10"
+
+ORACLE |= {
+    "snk2_refused_outputs": on_orders("""SELECT * FROM (VALUES
+      ('audit exists', 'already exists, choose a new output.'), ('batch size', 'batch_size must be positive.'),
+      ('rows per group', 'batch_size must be positive.'), ('max sites', 'max_sites must be positive.'),
+      ('no sites', 'No sites were found in the input.'), ('left behind', ''),
+      ('audit file', 'label_path, label_rows, labels_without_parsed_sites, max_sites_requested, output_path, parsed_read_rows, parsed_sites, signal_path, sites_outside_expected_DRACH_motif, sites_without_labels')) AS t("case", message)
+      UNION ALL SELECT 'rows', sum(n_reads)::VARCHAR FROM (SELECT n_reads FROM lines ORDER BY line_id LIMIT 20)"""),
+    "lab1_refused_tables": """SELECT * FROM (VALUES
+      ('label columns', 'Missing required columns: [''label'']. Found: [''gene_id'', ''transcript_id'', ''transcript_position'', ''comment'']'),
+      ('baseline columns', 'Missing required columns: [''central_dwell'']. Found: [''transcript_id'', ''transcript_position'', ''sequence'', ''central_5mer'', ''n_reads'', ''minus1_dwell'', ''minus1_signal_sd'', ''minus1_signal_mean'', ''central_signal_sd'', ''central_signal_mean'', ''plus1_dwell'', ''plus1_signal_sd'', ''plus1_signal_mean'', ''gene_id'', ''label'']'),
+      ('label values', 'More than 10 annotation values.'), ('no labels', 'No annotated sites available.')) AS t("case", message)""",
+    "auc1_ranking_metrics": on_reads(ranking("judged"), SCORED),
+    "auc1_metrics_by_transcript": on_reads(ranking("judged", "transcript_id"), SCORED),
+    "auc1_metrics_of_reads": f"WITH {READS.replace('code, l_partkey, l_linenumber' + chr(10) + '  FROM coded', 'code, l_partkey, l_linenumber, l_orderkey' + chr(10) + '  FROM coded').replace('EXCLUDE (code, l_partkey, l_linenumber)', 'EXCLUDE (code, l_partkey, l_linenumber, l_orderkey)')}"
+    + ", judged AS (SELECT label, (l_orderkey * 7919 % 65536)::DOUBLE / 65536 AS score FROM full_reads WHERE label IN (0, 1)) "
+    + ranking("judged"),
+    "auc2_score_curve": on_reads(f"SELECT {r('score', 'score')}, positives, negatives, tp, fp FROM {CURVE}", SCORED),
+    "auc2_roc_curve": on_reads(f"SELECT {r('score', 'score')}, {r('tp::DOUBLE / max(tp) OVER ()', 'tpr')}, {r('fp::DOUBLE / max(fp) OVER ()', 'fpr')} FROM {CURVE}", SCORED),
+    "auc2_precision_recall": on_reads(f"SELECT {r('score', 'score')}, {r('tp::DOUBLE / (tp + fp)', 'precision')}, {r('tp::DOUBLE / max(tp) OVER ()', 'recall')} FROM {CURVE}", SCORED),
+    "spl1_leakage_safe_split": recursive(f"""SELECT {KEYS}, gene_id, "group", {side('"group"', 0.3)} AS side FROM grouped""", REACHED),
+    "spl1_leaks": f"SELECT unnest(['{SITE_KIND}', 'transcript_id', 'gene_id']) AS kind, 0::BIGINT AS leaks",
+    "spl1_leaks_by_site": on_reads(" UNION ALL ".join([leaking(SITE_KIND, "k"), leaking("transcript_id", "transcript_id"), leaking("gene_id", "gene_id")]), BY_SITE),
+    "spl2_balanced_split": on_reads("SELECT side, wanted_share, 0::BIGINT AS split_groups, true AS rows_within, true AS positives_within, (SELECT count(*) FROM family) AS all_rows FROM (VALUES ('train', 0.7::DOUBLE), ('valid', 0.1::DOUBLE), ('test', 0.2::DOUBLE)) AS t(side, wanted_share)", FAMILIES),
+    "prd1_prediction_report": on_reads(f"""SELECT unnest(['missing_sites', 'unknown_sites', 'repeated_sites', 'bad_scores', 'null_keys']) AS "check",
+      unnest([count(*) FILTER ({REST} = 1), count(*) FILTER ({REST} = 2), count(*) FILTER ({REST} = 3), count(*) FILTER ({REST} IN (4, 5)), 0]) AS failed_rows FROM scored""", SCORED),
+    "prd2_written_predictions": on_reads(f"SELECT {KEYS}, score, (SELECT count(*) FROM scored) AS sites FROM scored", SCORED),
+}

@@ -1,5 +1,7 @@
 """One registered query per operator that yields a table."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from checks import fixtures as x
@@ -8,8 +10,10 @@ from sitesignal.operators import compare as c
 from sitesignal.operators import distributions as d
 from sitesignal.operators import frequency as f
 from sitesignal.operators import joins as j
+from sitesignal.operators import metrics as me
 from sitesignal.operators import quality as q
 from sitesignal.operators import sites as s
+from sitesignal.operators import splits as sp
 from sitesignal.operators import summaries as m
 from sitesignal.operators.baselines import add_residuals, fit_kmer_baselines
 from sitesignal.operators.features import build_features, site_sizes
@@ -22,8 +26,10 @@ from sitesignal.schema import (
     SITE_KEYS,
 )
 from sitesignal.sources import labels as sl
+from sitesignal.sources import predictions as pr
 from sitesignal.sources import reads as sr
 from sitesignal.sources import signals as ss
+from sitesignal.sources.storage import Storage
 
 
 def rounded(df, digits=6):
@@ -140,6 +146,98 @@ def _labelled_reads(spark, sf):
     return s.labelled(x.reads(spark, sf, coverage=False))
 
 
+def _refusal(case, call):
+    """(case, message) of a call that must be refused."""
+    try:
+        call()
+    except (ValueError, FileExistsError) as error:
+        return case, " ".join(word for word in str(error).split() if "/" not in word)
+    return case, None
+
+
+def _refused(spark, cases):
+    return spark.createDataFrame([_refusal(*c) for c in cases.items()], "case string, message string")
+
+
+def _sink_refusals(spark, sf):
+    signals, labels = x.signal_files(spark, sf)
+    folder = x.scratch(spark)
+    output = f"{folder}/reads.parquet"
+    audit = ingest(spark, signals, output, max_sites=20)
+    blank = f"{folder}/blank"
+    sr.read_reads(spark, output).selectExpr("repeat(' ', cast(n_reads as int)) as value").write.text(blank)
+    stored = Storage(spark).read_text(f"{folder}/reads.audit.json")
+    Storage(spark).rename(output, f"{folder}/moved.parquet")
+    reads = sr.read_reads(spark, f"{folder}/moved.parquet")
+    named = ", ".join(sorted(audit)) if stored == json.dumps(audit, indent=2) else "another audit"
+    table = _refused(
+        spark,
+        {
+            "audit exists": lambda: ingest(spark, signals, output),
+            "batch size": lambda: ingest(spark, signals, f"{folder}/b.parquet", batch_size=0),
+            "rows per group": lambda: sr.write_reads(reads, f"{folder}/c.parquet", batch_size=0),
+            "max sites": lambda: ingest(spark, signals, f"{folder}/d.parquet", max_sites=0),
+            "no sites": lambda: ingest(spark, blank, f"{folder}/e.parquet"),
+        },
+    )
+    left = [n for n in "bcde" if Storage(spark).exists(f"{folder}/{n}.parquet")]
+    more = [("audit file", named), ("left behind", "".join(left)), ("rows", str(reads.count()))]
+    return table.unionByName(spark.createDataFrame(more, table.schema))
+
+
+def _table_refusals(spark, sf):
+    texts, reads = x.label_texts(spark, sf), x.reads(spark, sf)
+    many = _sites(spark, sf).withColumn("label", F.expr("transcript_position % 12 / 16D"))
+    return _refused(
+        spark,
+        {
+            "label columns": lambda: sl.prepare_labels(texts.drop("label")),
+            "baseline columns": lambda: fit_kmer_baselines(reads.drop("central_dwell")),
+            "label values": lambda: f.kmer_by_label(many, "central_5mer"),
+            "no labels": lambda: f.kmer_by_label(many.filter("label < 0"), "central_5mer"),
+        },
+    )
+
+
+def _curve_rows(spark, sf):
+    return rounded(me.score_curve(x.scored_sites(spark, sf)))
+
+
+def _fine_scores(spark, sf):
+    """Reads, not sites, with about as many scores as orders."""
+    reads = x.reads(spark, sf, coverage=False, extra=["l_orderkey"])
+    return reads.withColumn("score", (F.col("l_orderkey") * 7919 % 65536).cast("double") / 65536.0)
+
+
+SHARES = {"train": 0.7, "valid": 0.1, "test": 0.2}
+
+
+def _balanced(spark, sf):
+    """Whether the law of the split holds: whole groups, and shares within a hundredth or one group."""
+    split = sp.balanced_split(sp.linked_groups(x.family_sites(spark, sf)), shares=SHARES)
+    largest = split.groupBy("group").count().agg(F.max("count").alias("_most"))
+    summary = sp.split_summary(split, SHARES).join(F.broadcast(largest))
+    summary = summary.join(F.broadcast(split.agg(F.count("*").alias("_all"))))
+    allowed = 0.01 + F.col("_most") / F.col("_all")
+    return summary.select(
+        "side",
+        "wanted_share",
+        "split_groups",
+        (F.abs(F.col("row_share") - F.col("wanted_share")) <= allowed).alias("rows_within"),
+        (F.abs(F.col("positive_share") - F.col("wanted_share")) <= allowed).alias("positives_within"),
+        F.col("_all").alias("all_rows"),
+    )
+
+
+def _written_predictions(spark, sf):
+    scored = x.scored_sites(spark, sf)
+    path = f"{x.scratch(spark)}/predictions"
+    counts = pr.write_predictions(scored, scored, path)
+    written = pr.read_predictions(spark, path)
+    assert counts == pr.read_report(spark, path)
+    return written.withColumn("sites", F.lit(counts["sites"]).cast("bigint"))
+
+
 QUERIES = {
     # sources and sinks
     "src1_signal_text": _text_signals,
@@ -296,6 +394,28 @@ QUERIES = {
     "dst5_many_label_boxes": lambda k, p: rounded(
         d.box_stats(_many_label_means(k, p), labels=None)
     ),
+    # refused inputs
+    "snk2_refused_outputs": _sink_refusals,
+    "lab1_refused_tables": _table_refusals,
+    # evaluation
+    "auc1_ranking_metrics": lambda k, p: rounded(me.ranking_metrics(x.scored_sites(k, p))),
+    "auc1_metrics_by_transcript": lambda k, p: rounded(me.ranking_metrics(x.scored_sites(k, p), ["transcript_id"])),
+    "auc1_metrics_of_reads": lambda k, p: rounded(me.ranking_metrics(_fine_scores(k, p))),
+    "auc2_score_curve": _curve_rows,
+    "auc2_roc_curve": lambda k, p: rounded(me.roc_curve(x.scored_sites(k, p))),
+    "auc2_precision_recall": lambda k, p: rounded(me.precision_recall_curve(x.scored_sites(k, p))),
+    "spl1_leakage_safe_split": lambda k, p: sp.leakage_safe_split(x.family_sites(k, p), 0.3).select(
+        *SITE_KEYS, "gene_id", "group", "side"
+    ),
+    "spl1_leaks": lambda k, p: sp.leaks(sp.leakage_safe_split(x.family_sites(k, p), 0.3)),
+    "spl1_leaks_by_site": lambda k, p: sp.leaks(
+        sp.leakage_safe_split(x.family_sites(k, p), 0.3, [sp.SITE])
+    ),
+    "spl2_balanced_split": _balanced,
+    "prd1_prediction_report": lambda k, p: pr.prediction_report(
+        x.defective_predictions(k, p), x.scored_sites(k, p)
+    ),
+    "prd2_written_predictions": _written_predictions,
     # whole entry points
     "ent2_features_deep_sites": lambda k, p: rounded(
         build_features(x.reads(k, p), value_limit=150)

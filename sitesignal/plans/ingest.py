@@ -8,8 +8,8 @@ again by a repeated task.
 """
 
 import json
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +42,34 @@ def audit_path(output: str) -> str:
     return f"{folder}/{stem}.audit.json" if folder else f"{stem}.audit.json"
 
 
+#: The audit inside the data folder, which makes both one commit; readers pass over it.
+INNER_AUDIT = "_audit.json"
+
+
+def restore_audit(spark: SparkSession, output: str) -> bool:
+    """Write the audit beside the data again from the copy inside, if only that is there.
+
+    So ends a run whose driver was killed after it had committed the data. True if it was needed.
+    """
+    storage, output = Storage(spark), str(output)
+    inner, outer = f"{output.rstrip('/')}/{INNER_AUDIT}", audit_path(output)
+    if storage.exists(outer) or not storage.exists(inner):
+        return False
+    _put_text(storage, outer, storage.read_text(inner))
+    return True
+
+
+def _put_text(storage: Storage, path: str, text: str) -> None:
+    """A text file that is whole or not there."""
+    partial = f"{path}.partial-{uuid.uuid4().hex}"
+    try:
+        storage.write_text(partial, text)
+        storage.rename(partial, path)
+    except BaseException:
+        storage.delete(partial)
+        raise
+
+
 def key_counts(sites: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """One row: a repeated site key or null, and how sites and labels match.
 
@@ -78,15 +106,23 @@ def ingest(
     sites raise ``ValueError`` and leave no output.  Existing output is never
     overwritten.  ``max_sites`` keeps the first sites in file order and looks
     at no line after them.
+
+    All is staged in a folder of the run's own name, so what a killed driver
+    leaves blocks no later run.  Data and audit (a copy inside the data
+    folder) appear by one rename; the audit beside the data follows, and where a
+    driver was killed in between, the next call for that output (which
+    refuses it, as it exists) or ``restore_audit`` writes it.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be positive.")
     if max_sites is not None and max_sites < 1:
         raise ValueError("max_sites must be positive.")
     signals, output = str(signals), str(output)
-    audit_file, partial = audit_path(output), output.rstrip("/") + ".partial"
+    audit_file = audit_path(output)
+    partial = f"{output.rstrip('/')}.partial-{uuid.uuid4().hex}"
     storage = Storage(spark)
-    for path in [output, audit_file, partial]:
+    restore_audit(spark, output)
+    for path in [output, audit_file]:
         if storage.exists(path):
             raise FileExistsError(f"{path} already exists, choose a new output.")
     label_rows = read_labels(spark, str(labels)) if labels is not None else None
@@ -100,8 +136,8 @@ def ingest(
         # What the checks need of the reads is staged beside them.
         parse_lines(wanted).drop("value").withColumns(
             {"n_reads": F.size("reads").cast("bigint"), "central_5mer": central_kmer()}
-        ).write.parquet(partial)
-        staged = spark.read.parquet(partial)
+        ).write.parquet(f"{partial}/lines")
+        staged = spark.read.parquet(f"{partial}/lines")
         counts = _checked_counts(staged, lines)
         sites = good_sites(staged)
         matches = key_counts(sites, label_rows).first().asDict()
@@ -118,16 +154,13 @@ def ingest(
             small = matches["label_rows"] <= BROADCAST_LABELS
             right = F.broadcast(label_rows) if small else label_rows
             sites = attach_labels(sites, right, validate=False)
-        try:
-            write_reads(explode_reads(sites), output, batch_size)
-        except AnalysisException:
-            raise  # nothing was written, for one if the path has appeared since
-        except Exception:
-            storage.delete(output)
-            raise
+        write_reads(explode_reads(sites), f"{partial}/reads", batch_size)
+        text = json.dumps(audit, indent=2)
+        storage.write_text(f"{partial}/reads/{INNER_AUDIT}", text)
+        storage.rename(f"{partial}/reads", output)
+        _put_text(storage, audit_file, text)
     finally:
         storage.delete(partial)
-    storage.write_text(audit_file, json.dumps(audit, indent=2))
     return audit
 
 

@@ -20,6 +20,24 @@ class Storage:
         files, target = self._open(path)
         files.delete(target, True)
 
+    def rename(self, source, path):
+        """Give a file or folder another name, which must be free; one step on file systems."""
+        files, target = self._open(path)
+        if files.exists(target) or not files.rename(self._open(source)[1], target):
+            raise FileExistsError(f"{source} could not be renamed to {path}.")
+
+    def names(self, folder):
+        files, target = self._open(folder)
+        return [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
+
+    def read_text(self, path):
+        files, target = self._open(path)
+        stream = files.open(target)
+        try:
+            return bytes(stream.readAllBytes()).decode("utf-8")
+        finally:
+            stream.close()
+
     def write_text(self, path, text):
         files, target = self._open(path)
         stream = files.create(target, False)

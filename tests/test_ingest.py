@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitesignal.operators.joins import attach_labels, orphan_labels, unlabelled_sites, validated_join
-from sitesignal.plans.ingest import audit_path, ingest
+from sitesignal.plans.ingest import audit_path, ingest, restore_audit
 from sitesignal.plans.ingest_job import main
 from sitesignal.schema import LABELLED_READS_SCHEMA, READS_SCHEMA
 from sitesignal.sources.labels import prepare_labels, read_labels
@@ -22,6 +22,7 @@ from sitesignal.sources.signals import (
     rejected_lines,
     skip_blank_lines,
 )
+from sitesignal.sources.storage import Storage
 
 READ = [0.00299, 2.06, 125.0, 0.0177, 10.4, 122.0, 0.0093, 10.9, 84.1]
 
@@ -127,6 +128,45 @@ def many(n, start=0):
 LABELS = "gene_id,transcript_id,transcript_position,label\n"
 
 
+def visible(folder):
+    return sorted(name for name in os.listdir(folder) if not name.startswith("."))
+
+
+class Killed(BaseException):
+    """Stands for the end of the driver: nothing after it runs, also no cleaning."""
+
+
+@pytest.mark.parametrize("at", ["reads", "inner audit", "commit", "audit"])
+def test_a_killed_driver_leaves_all_or_nothing_and_blocks_no_later_run(spark, tmp_path, monkeypatch, at):
+    signals, output = write(tmp_path / "s.json", many(5)), str(tmp_path / "out" / "reads.parquet")
+    steps = {"reads": ("write_text", 1), "inner audit": ("rename", 1), "commit": ("write_text", 2), "audit": ("rename", 2)}
+    name, call = steps[at]
+    calls, real = [], getattr(Storage, name)
+
+    def dies(self, *args):
+        calls.append(args)
+        if len(calls) == call:
+            raise Killed
+        return real(self, *args)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Storage, name, dies)
+        patch.setattr(Storage, "delete", lambda self, path: None)
+        with pytest.raises(Killed):
+            ingest(spark, signals, output)
+    committed = os.path.exists(output)
+    assert committed == (at in ("commit", "audit")) and not os.path.exists(audit_path(output))
+    if committed:  # data and a copy of the audit inside; the next call restores the audit beside it
+        assert read_reads(spark, output).count() == 9
+        with pytest.raises(FileExistsError):
+            ingest(spark, signals, output)
+        assert json.load(open(audit_path(output)))["parsed_read_rows"] == 9
+        assert not restore_audit(spark, output)
+    else:
+        audit = ingest(spark, signals, output)
+        assert json.load(open(audit_path(output))) == audit and read_reads(spark, output).count() == 9
+
+
 @pytest.mark.parametrize("zipped", [False, True])
 def test_ingest_end_to_end(spark, tmp_path, zipped):
     signals = write(tmp_path / ("s.json.gz" if zipped else "s.json"), ["", *many(7), " "], zipped)
@@ -147,7 +187,7 @@ def test_ingest_end_to_end(spark, tmp_path, zipped):
         "labels_without_parsed_sites": 1,
     }
     assert json.load(open(tmp_path / "new" / "reads.audit.json")) == audit
-    assert not os.path.exists(output + ".partial")
+    assert visible(tmp_path / "new") == ["reads.audit.json", "reads.parquet"]
     df = read_reads(spark, output)
     assert df.schema.simpleString() == LABELLED_READS_SCHEMA.simpleString()
     got = {
@@ -223,7 +263,7 @@ def test_duplicates_and_empty_inputs_fail(spark, tmp_path):
     for options in [{"batch_size": 0}, {"max_sites": 0}]:
         with pytest.raises(ValueError, match="positive"):
             ingest(spark, repeated, output, **options)
-    assert not os.path.exists(output) and not os.path.exists(output + ".partial")
+    assert not [name for name in os.listdir(tmp_path) if "r.parquet" in name]
     sites = good_sites(parse_lines(read_lines(spark, repeated)))
     assert [tuple(r) for r in duplicate_sites(sites).collect()] == [("T1", 244, 2)]
 

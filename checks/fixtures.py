@@ -4,14 +4,12 @@
 JSON.  The SQL of the same tables is in ``checks/oracle.py``.
 """
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitesignal.functions import central_kmer
-from sitesignal.operators.quantiles import ensure_checkpoint_dir
 from sitesignal.schema import SIGNALS, SITE_KEYS
+from sitesignal.sources.scratch import scratch_path
 
 ORDER = [
     "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
@@ -27,8 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+    return scratch_path(spark)
 
 
 def _letter(letters, index):

@@ -493,3 +493,20 @@ ORACLE |= {
       unnest([count(*) FILTER ({REST} = 1), count(*) FILTER ({REST} = 2), count(*) FILTER ({REST} = 3), count(*) FILTER ({REST} IN (4, 5)), 0]) AS failed_rows FROM scored""", SCORED),
     "prd2_written_predictions": on_reads(f"SELECT {KEYS}, score, (SELECT count(*) FROM scored) AS sites FROM scored", SCORED),
 }
+
+MOTIF_COUNTS = f", counts AS (SELECT central_5mer, {BINARY_COUNTS} FROM sites WHERE label IS NOT NULL GROUP BY central_5mer)"
+SIZES = "(SELECT count(*) AS n_sites FROM sites WHERE {0} IS NOT NULL GROUP BY {0})"
+ORACLE |= {
+    "ent4_coverage": ORACLE["agg11_coverage_describe"],
+    "ent4_coverage_by_label": ORACLE["agg12_coverage_by_label"],
+    "ent4_read_boxes": ORACLE["dst4_read_boxes"],
+    "ent4_site_mean_boxes": ORACLE["dst5_site_mean_boxes"],
+    "ent4_sites_per_gene_described": on_reads(f"SELECT {describe('n_sites', [25, 50, 75])} FROM {SIZES.format('gene_id')}"),
+    "ent4_sites_per_transcript_described": on_reads(f"SELECT {describe('n_sites', [25, 50, 75])} FROM {SIZES.format('transcript_id')}"),
+    "ent4_sites_per_gene_histogram": ORACLE["dst1_gene_histogram"],
+    "ent4_label_histogram": on_reads("", histogram("SELECT label AS x FROM sites WHERE label IS NOT NULL", 20, 0, 1)),
+    "ent4_transcript_sizes": ORACLE["agg14_size_histogram"],
+    "ent4_excluded_reads": on_reads(" UNION ALL ".join(f"SELECT '{c}' AS feature, 0::BIGINT AS excluded" for c in CENTRAL)),
+    "ent4_central_5mer_percentages": on_reads(f"SELECT central_5mer, {percentages(['label_0', 'label_1'], 'counts')} FROM counts", MOTIF_COUNTS),
+    "ent4_central_5mer_top20": on_reads("SELECT * FROM counts ORDER BY label_0 + label_1 DESC, central_5mer LIMIT 20", MOTIF_COUNTS),
+}

@@ -19,6 +19,7 @@ from sitesignal.operators.baselines import add_residuals, fit_kmer_baselines
 from sitesignal.operators.features import build_features, site_sizes
 from sitesignal.operators.read_features import read_features
 from sitesignal.plans.ingest import ingest
+from sitesignal.plans.profile import profile
 from sitesignal.schema import (
     AGG_COLUMNS,
     BASELINE_FEATURES,
@@ -238,6 +239,21 @@ def _written_predictions(spark, sf):
     return written.withColumn("sites", F.lit(counts["sites"]).cast("bigint"))
 
 
+PROFILE_TABLES = [
+    "coverage",
+    "coverage_by_label",
+    "read_boxes",
+    "site_mean_boxes",
+    "sites_per_gene_described",
+    "sites_per_transcript_described",
+    "sites_per_gene_histogram",
+    "label_histogram",
+    "transcript_sizes",
+    "excluded_reads",
+    "central_5mer_percentages",
+    "central_5mer_top20",
+]
+
 QUERIES = {
     # sources and sinks
     "src1_signal_text": _text_signals,
@@ -394,6 +410,11 @@ QUERIES = {
     "dst5_many_label_boxes": lambda k, p: rounded(
         d.box_stats(_many_label_means(k, p), labels=None)
     ),
+    # tables of a whole profile, which share one table of counts
+    **{
+        f"ent4_{name}": lambda k, p, name=name: rounded(profile(x.reads(k, p))[name])
+        for name in PROFILE_TABLES
+    },
     # refused inputs
     "snk2_refused_outputs": _sink_refusals,
     "lab1_refused_tables": _table_refusals,

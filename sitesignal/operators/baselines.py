@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal.functions import central_kmer
-from sitesignal.operators.quantiles import counted, in_ranges, ranked, settle, side_by_side
+from sitesignal.operators.quantiles import counted, in_ranges, ranked, side_by_side
 from sitesignal.operators.read_features import read_features
 from sitesignal.schema import (
     BASELINE_FEATURES,
@@ -29,10 +29,11 @@ def fit_kmer_baselines(df: DataFrame, features=BASELINE_FEATURES) -> DataFrame:
     reads = read_features(df, keep=["sequence"]).select(
         central_kmer().alias("central_5mer"), *features
     )
-    by_motif = settle(counted(reads, ["central_5mer"], features))
-    overall = by_motif.groupBy("_column", "_value").agg(F.sum("_n").alias("_n"))
-    cells = by_motif.unionByName(overall.withColumn("central_5mer", F.lit(GLOBAL_MOTIF)))
-    medians = ranked(in_ranges(cells, ["central_5mer"]), ["central_5mer"], [0.5])
+    # Dealt by (column, value) alone, the same ranges rank every motif and the whole.
+    cells = in_ranges(counted(reads, ["central_5mer"], features), [])
+    overall = cells.groupBy("_part", "_column", "_value").agg(F.sum("_n").alias("_n"))
+    overall = ranked(overall.withColumn("central_5mer", F.lit(GLOBAL_MOTIF)), ["central_5mer"], [0.5])
+    medians = ranked(cells, ["central_5mer"], [0.5]).unionByName(overall)
     medians = medians.withColumn("_q", F.get("_q", F.lit(0)))
     return side_by_side(medians, ["central_5mer"], features, [("", "_q")])
 

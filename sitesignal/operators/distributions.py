@@ -9,6 +9,7 @@ from sitesignal.operators.sites import labelled
 from sitesignal.schema import CENTRAL_SIGNALS
 
 WHISKER = 1.5
+BOX_COLUMNS = ["feature", "label", "n", "low_whisker", "q1", "median", "q3", "high_whisker"]
 
 
 def _edge(i, bins, lo, hi):
@@ -156,35 +157,33 @@ def box_stats(df: DataFrame, columns=CENTRAL_SIGNALS, labels=(0, 1)) -> DataFram
     and not listed.  ``labels=None`` takes every label in use, however many.
     Columns that are no numbers fail.  ``df`` is scanned once, to count values.
     """
-    label = strict_double("label")
-    rows = df.select(
-        label.alias("label"),
-        *[
-            F.when(F.abs(present(strict_double(c))) < F.lit(float("inf")), strict_double(c)).alias(c)
-            for c in columns
-        ],
-    )
-    if labels is not None:
-        rows = rows.filter(F.col("label").isin([float(v) for v in labels]))
-    cells = in_ranges(counted(rows, ["label"], list(columns)), ["label"])
-    quartiles = ["q1", "median", "q3"]
-    stats = ranked(cells, ["label"], [0.25, 0.5, 0.75]).select(
-        "label",
-        "_column",
-        *[F.get("_q", F.lit(i)).alias(q) for i, q in enumerate(quartiles)],
-    )
+    cells = in_ranges(counted(box_rows(df, columns, labels), ["label"], list(columns)), ["label"])
+    quartiles = ranked(cells, ["label"], [0.25, 0.5, 0.75])
+    return boxes(cells, quartiles, ["label"], [0, 1, 2]).withColumnRenamed("_column", "feature").select(*BOX_COLUMNS)
+
+
+def box_rows(df: DataFrame, columns=CENTRAL_SIGNALS, labels=(0, 1)) -> DataFrame:
+    """(label, columns) of the rows that count for a box plot; values that are not finite are null."""
+    finite = [F.when(F.abs(present(strict_double(c))) < F.lit(float("inf")), strict_double(c)).alias(c) for c in columns]
+    rows = df.select(strict_double("label").alias("label"), *finite)
+    return rows if labels is None else rows.filter(F.col("label").isin([float(v) for v in labels]))
+
+
+def boxes(cells: DataFrame, stats: DataFrame, keys: list[str], at: list[int]) -> DataFrame:
+    """Box statistics of each series of ``cells``; its quartiles are at places ``at`` of ``_q`` in ``stats``."""
+    series, quartiles = [*keys, "_column"], ["q1", "median", "q3"]
+    stats = stats.select(*series, *[F.get("_q", F.lit(i)).alias(q) for i, q in zip(at, quartiles)])
     span = (F.col("q3") - F.col("q1")) * WHISKER
     return (
-        cells.join(stats, ["label", "_column"])
-        .groupBy("label", "_column", *quartiles)
+        cells.join(stats, series)
+        .groupBy(*series, *quartiles)
         .agg(
             F.sum("_n").alias("n"),
             F.min(F.when(F.col("_value") >= F.col("q1") - span, F.col("_value"))).alias("_low"),
             F.max(F.when(F.col("_value") <= F.col("q3") + span, F.col("_value"))).alias("_high"),
         )
         .select(
-            F.col("_column").alias("feature"),
-            "label",
+            *series,
             "n",
             F.least("_low", "q1").alias("low_whisker"),
             *quartiles,

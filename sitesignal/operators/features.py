@@ -13,7 +13,7 @@ from sitesignal.functions import (
     sequence_one_hot,
 )
 from sitesignal.operators.baselines import add_residuals
-from sitesignal.operators.quantiles import given_keys, grouped_quantiles, settle
+from sitesignal.operators.quantiles import given_keys, grouped_quantiles
 from sitesignal.operators.read_features import SITE_CONTEXT, read_features
 from sitesignal.schema import (
     FEATURE_COLUMNS,
@@ -28,6 +28,7 @@ from sitesignal.schema import (
     require_columns,
     statistic_columns,
 )
+from sitesignal.sources.scratch import settle
 
 # A task holds at most this many values (reads times features) of one site;
 # the quantiles of larger sites come from counts, by the same formula.

@@ -8,34 +8,10 @@ the sums of the ranges before it.  Nothing is sampled, no group is gathered,
 and there is one formula for all.
 """
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark):
-    """Use ``spark.checkpoint.dir``; only a local session gets its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    else:
-        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, to be read more than once.
-
-    The files are removed with the table if
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+from sitesignal.sources.scratch import settle
 
 
 def given_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,7 +47,11 @@ def counted(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def in_ranges(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """The cells, dealt by ranges of (keys, column, value); ``_part`` numbers the ranges."""
+    """The cells, dealt by ranges of (keys, column, value); ``_part`` numbers the ranges.
+
+    Any grouping of the cells whose values rise with the ranges can be ranked: that by
+    ``keys``, and without ``keys`` one by any further columns.
+    """
     dealt = cells.repartitionByRange(*keys, "_column", "_value")
     return settle(dealt.withColumn("_part", F.spark_partition_id()))
 
@@ -140,6 +120,26 @@ def ranked(cells: DataFrame, keys: list[str], probs) -> DataFrame:
     return found.groupBy(*series).agg(F.array(*picked).alias("_q"))
 
 
+def described(cells: DataFrame, keys: list[str], percentiles) -> DataFrame:
+    """(keys, _column, count, mean, std, min, max, _q) of each series of ``cells`` from ``in_ranges``."""
+    series = [*keys, "_column"]
+    value, n = F.col("_value"), F.col("_n")
+    moments = cells.groupBy(*series).agg(
+        F.sum("_n").alias("count"),
+        (F.sum(value * n) / F.sum("_n")).alias("mean"),
+        F.min("_value").alias("min"),
+        F.max("_value").alias("max"),
+    )
+    apart = (value - F.col("mean")) * (value - F.col("mean")) * n
+    spread = (
+        cells.join(moments.select(*series, "count", "mean"), series)
+        .groupBy(*series, "count")
+        .agg(F.sqrt(F.try_divide(F.sum(apart), F.col("count") - 1)).alias("std"))
+        .drop("count")
+    )
+    return moments.join(spread, series).join(ranked(cells, keys, percentiles), series)
+
+
 def side_by_side(long: DataFrame, keys: list[str], columns: list[str], values) -> DataFrame:
     """One row per group from one per group and column; (name, column) pairs in ``values``."""
     return long.groupBy(*keys).agg(

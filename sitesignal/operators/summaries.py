@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal.functions import percent, present
-from sitesignal.operators.quantiles import counted, in_ranges, grouped_quantiles, ranked, settle
+from sitesignal.operators.quantiles import counted, described, grouped_quantiles, in_ranges
 from sitesignal.operators.sites import labelled, site_table
 from sitesignal.schema import SITE_KEYS
+from sitesignal.sources.scratch import settle
 
 COVERAGE_PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 COVERAGE_CUTOFFS = [5, 10, 20]
@@ -110,28 +111,19 @@ def describe(df: DataFrame, column: str, percentiles=(0.25, 0.5, 0.75), by=None)
     keys = [by] if by else ["_group"]
     df = df.select(by if by else F.lit(0).alias("_group"), column)
     cells = in_ranges(counted(df, keys, [column]), keys)
-    value, n = F.col("_value"), F.col("_n")
-    moments = cells.groupBy(*keys).agg(
-        F.sum("_n").alias("count"),
-        (F.sum(value * n) / F.sum("_n")).alias("mean"),
-        F.min("_value").alias("min"),
-        F.max("_value").alias("max"),
-    )
-    apart = (value - F.col("mean")) * (value - F.col("mean")) * n
-    spread = (
-        cells.join(moments.select(*keys, "count", "mean"), keys)
-        .groupBy(*keys, "count")
-        .agg(F.sqrt(F.try_divide(F.sum(apart), F.col("count") - 1)).alias("std"))
-        .drop("count")
-    )
-    stats = moments.join(spread, keys).join(ranked(cells, keys, percentiles), keys)
+    return described_columns(described(cells, keys, percentiles), [by] if by else [], percentiles)
+
+
+def described_columns(stats: DataFrame, keys: list[str], percentiles, among=None) -> DataFrame:
+    """The columns of ``describe`` from ``quantiles.described``, whose percentiles were ``among``."""
+    among = list(percentiles if among is None else among)
     return stats.select(
-        *([by] if by else []),
+        *keys,
         "count",
         "mean",
         "std",
         "min",
-        *[F.get("_q", F.lit(i)).alias(percentile_name(p)) for i, p in enumerate(percentiles)],
+        *[F.get("_q", F.lit(among.index(p))).alias(percentile_name(p)) for p in percentiles],
         "max",
     )
 

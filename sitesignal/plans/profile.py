@@ -1,6 +1,10 @@
 """Profile one data set, compare two: every table of the analysis by name."""
 
+from collections.abc import Mapping
+from functools import cached_property, reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sitesignal.operators import compare as c
 from sitesignal.operators import distributions as d
@@ -8,62 +12,140 @@ from sitesignal.operators import frequency as f
 from sitesignal.operators import quality as q
 from sitesignal.operators import sites as s
 from sitesignal.operators import summaries as m
+from sitesignal.operators.quantiles import counted, described, in_ranges
+from sitesignal.schema import CENTRAL_SIGNALS
+from sitesignal.sources.scratch import settle
+
+PLAIN = (0.25, 0.5, 0.75)
+PERCENTILES = tuple(m.COVERAGE_PERCENTILES)  # they include the quartiles
+SERIES = ["_table", "label"]
+
+
+class Profile(Mapping):
+    """Tables that describe one data set, by name; each is built when it is first asked for.
+
+    What several tables need is computed once and written to the shared folder: the
+    site table, the site means, and one table of value counts, dealt by ranges,
+    from which all percentiles, moments and boxes are taken. Use it inside
+    ``scratch.scratch_tables`` to have these deleted at the end.
+    """
+
+    def __init__(self, reads: DataFrame, labels: DataFrame | None = None, binary: bool = True):
+        self.reads, self.raw_labels, self.wanted = reads, labels, (0, 1) if binary else None
+        self._built: dict[str, DataFrame] = {}
+        known = lambda: s.labelled(self.sites)
+        self._builders = {
+            "quality": lambda: q.quality_report(reads),
+            "sites": lambda: self.sites,
+            "summary": lambda: m.dataset_summary(reads),
+            "missing_values": lambda: m.missing_values(reads),
+            "class_balance": lambda: m.class_balance(known()),
+            "label_values": lambda: m.label_value_counts(reads),
+            "label_distribution": lambda: m.label_distribution(self.label_rows),
+            "label_histogram": lambda: d.histogram(self.label_rows, "label", 20, 0, 1),
+            "transcript_labels": lambda: m.transcript_labels(self.label_rows),
+            "constant_label_share": lambda: m.constant_label_share(self.label_rows),
+            "coverage": lambda: self._described("coverage", PERCENTILES),
+            "coverage_by_label": lambda: self._described("coverage_by_label", PLAIN, ["label"]),
+            "coverage_histogram": lambda: d.histogram(self.sites, "n_reads", 50, log=True),
+            "coverage_below": lambda: m.coverage_below(self.sites),
+            "sites_per_gene": lambda: self.by_gene,
+            "sites_per_gene_described": lambda: self._described("sites_per_gene", PLAIN),
+            "sites_per_gene_histogram": lambda: d.histogram(self.by_gene, "n_sites", 50, log=True),
+            "sites_per_transcript": lambda: self.by_transcript,
+            "sites_per_transcript_described": lambda: self._described("sites_per_transcript", PLAIN),
+            "transcript_sizes": lambda: m.size_histogram(self.by_transcript),
+            "motif_summary": lambda: f.motif_summary(self.sites),
+            "unexpected_motifs": lambda: s.unexpected_motifs(self.sites),
+            "site_means": lambda: self.means,
+            "sites_by_label": lambda: m.label_value_counts(self.means),
+            "excluded_reads": lambda: d.excluded_rows(s.labelled(reads)),
+            "read_boxes": lambda: self._boxes("read_boxes"),
+            "site_mean_boxes": lambda: self._boxes("site_mean_boxes"),
+            "signal_density": lambda: d.density_by_label(reads),
+        }
+        for column in ["sequence", "central_5mer"]:
+            self._builders |= {
+                f"{column}_counts": lambda column=column: f.value_counts(self.sites, column),
+                f"{column}_by_label": lambda column=column: f.crosstab(self.sites, column, self.wanted),
+                f"{column}_top20": lambda column=column: f.top_keys(self[f"{column}_by_label"]),
+                f"{column}_percentages": lambda column=column: f.column_percentages(self[f"{column}_by_label"]),
+            }
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
 
+    @cached_property
+    def sites(self) -> DataFrame:
+        return settle(s.site_table(self.reads))
 
-def profile(
-    reads: DataFrame, labels: DataFrame | None = None, binary: bool = True
-) -> dict[str, DataFrame]:
-    """Tables that describe one data set, by name; nothing is drawn.
+    @cached_property
+    def means(self) -> DataFrame:
+        return settle(s.site_means(self.reads, self.raw_labels))
+
+    @property
+    def label_rows(self) -> DataFrame:
+        return self.sites if self.raw_labels is None else self.raw_labels
+
+    @cached_property
+    def by_gene(self) -> DataFrame:
+        return m.group_sizes(self.sites, "gene_id")
+
+    @cached_property
+    def by_transcript(self) -> DataFrame:
+        return m.group_sizes(self.label_rows, "transcript_id")
+
+    @cached_property
+    def _cells(self) -> DataFrame:
+        """How often each value occurs, of all tables that need its distribution; a table without labels has label 0."""
+        whole = lambda df, column: df.select(F.lit(0.0).alias("label"), column)
+        known = s.labelled(self.sites).select(F.col("label").cast("double").alias("label"), "n_reads")
+        sources = {
+            "coverage": (whole(self.sites, "n_reads"), ["n_reads"]),
+            "coverage_by_label": (known, ["n_reads"]),
+            "sites_per_gene": (whole(self.by_gene, "n_sites"), ["n_sites"]),
+            "sites_per_transcript": (whole(self.by_transcript, "n_sites"), ["n_sites"]),
+            "read_boxes": (d.box_rows(s.labelled(self.reads), labels=self.wanted), CENTRAL_SIGNALS),
+            "site_mean_boxes": (d.box_rows(self.means, labels=self.wanted), CENTRAL_SIGNALS),
+        }
+        cells = [
+            counted(df, ["label"], list(columns)).withColumn("_table", F.lit(name))
+            for name, (df, columns) in sources.items()
+        ]
+        return in_ranges(reduce(DataFrame.unionByName, cells), SERIES)
+
+    @cached_property
+    def _stats(self) -> DataFrame:
+        """A row for each series of the counts; small."""
+        return settle(described(self._cells, SERIES, PERCENTILES))
+
+    def _described(self, name: str, percentiles, keys=()) -> DataFrame:
+        stats = self._stats.filter(F.col("_table") == name)
+        return m.described_columns(stats, list(keys), percentiles, PERCENTILES)
+
+    def _boxes(self, name: str) -> DataFrame:
+        own = F.col("_table") == name
+        at = [PERCENTILES.index(p) for p in PLAIN]
+        found = d.boxes(self._cells.filter(own), self._stats.filter(own), SERIES, at)
+        return found.withColumnRenamed("_column", "feature").select(*d.BOX_COLUMNS)
+
+
+def profile(reads: DataFrame, labels: DataFrame | None = None, binary: bool = True) -> Profile:
+    """Tables that describe one data set, by name; nothing is drawn, and nothing runs before a table is asked for.
 
     ``labels`` is the raw label table, if label statistics should refer to it
     rather than to the sites with reads.  ``binary=False`` takes every label in
-    use where the default looks at 0 and 1.  The site table is
-    cached while the tables are used; ``tables["sites"].unpersist()`` frees it.
+    use where the default looks at 0 and 1.
     """
-    sites = s.site_table(reads).persist()
-    known = s.labelled(sites)
-    label_rows = sites if labels is None else labels
-    wanted = (0, 1) if binary else None
-    means = s.site_means(reads, labels)
-    by_gene = m.group_sizes(sites, "gene_id")
-    by_transcript = m.group_sizes(label_rows, "transcript_id")
-    tables = {
-        "quality": q.quality_report(reads),
-        "sites": sites,
-        "summary": m.dataset_summary(reads),
-        "missing_values": m.missing_values(reads),
-        "class_balance": m.class_balance(known),
-        "label_values": m.label_value_counts(reads),
-        "label_distribution": m.label_distribution(label_rows),
-        "label_histogram": d.histogram(label_rows, "label", 20, 0, 1),
-        "transcript_labels": m.transcript_labels(label_rows),
-        "constant_label_share": m.constant_label_share(label_rows),
-        "coverage": m.describe(sites, "n_reads", m.COVERAGE_PERCENTILES),
-        "coverage_by_label": m.describe(known, "n_reads", by="label"),
-        "coverage_histogram": d.histogram(sites, "n_reads", 50, log=True),
-        "coverage_below": m.coverage_below(sites),
-        "sites_per_gene": by_gene,
-        "sites_per_gene_described": m.describe(by_gene, "n_sites"),
-        "sites_per_gene_histogram": d.histogram(by_gene, "n_sites", 50, log=True),
-        "sites_per_transcript": by_transcript,
-        "sites_per_transcript_described": m.describe(by_transcript, "n_sites"),
-        "transcript_sizes": m.size_histogram(by_transcript),
-        "motif_summary": f.motif_summary(sites),
-        "unexpected_motifs": s.unexpected_motifs(sites),
-        "site_means": means,
-        "sites_by_label": m.label_value_counts(means),
-        "excluded_reads": d.excluded_rows(s.labelled(reads)),
-        "read_boxes": d.box_stats(s.labelled(reads), labels=wanted),
-        "site_mean_boxes": d.box_stats(means, labels=wanted),
-        "signal_density": d.density_by_label(reads),
-    }
-    for column in ["sequence", "central_5mer"]:
-        counts = f.crosstab(sites, column, wanted)
-        tables[f"{column}_counts"] = f.value_counts(sites, column)
-        tables[f"{column}_by_label"] = counts
-        tables[f"{column}_top20"] = f.top_keys(counts)
-        tables[f"{column}_percentages"] = f.column_percentages(counts)
-    return tables
+    return Profile(reads, labels, binary)
 
 
 def compare(a: DataFrame, b: DataFrame, validate: bool = True) -> dict[str, DataFrame]:

@@ -13,6 +13,7 @@ from sitesignal.operators import summaries as m
 from sitesignal.operators.quantiles import grouped_quantiles
 from sitesignal.plans.profile import compare, profile
 from sitesignal.schema import LABELLED_READS_SCHEMA, SIGNALS, SITE_KEYS
+from sitesignal.sources.scratch import scratch_tables
 from tests.test_features import linear_quantile
 
 
@@ -245,15 +246,48 @@ def test_compare(spark, reads):
     assert c.disagreements(tables["pairs"], None).count() == 1
 
 
+def test_profile_tables_equal_those_of_the_single_operators(reads):
+    with scratch_tables(reads.sparkSession):
+        tables = profile(reads)
+        assert not tables._built and len(tables) == 36
+        sites = s.site_table(reads)
+        means = s.site_means(reads)
+        alone = {
+            "coverage": m.describe(sites, "n_reads", m.COVERAGE_PERCENTILES),
+            "coverage_by_label": m.describe(s.labelled(sites), "n_reads", by="label"),
+            "sites_per_gene_described": m.describe(m.group_sizes(sites, "gene_id"), "n_sites"),
+            "sites_per_transcript_described": m.describe(m.group_sizes(sites, "transcript_id"), "n_sites"),
+            "read_boxes": d.box_stats(s.labelled(reads)),
+            "site_mean_boxes": d.box_stats(means),
+            "site_means": means,
+        }
+        for name, table in alone.items():
+            assert tables[name].columns == table.columns, name
+            assert sorted(map(tuple, tables[name].collect())) == sorted(map(tuple, table.collect())), name
+        none = profile(reads.filter("false"))
+        assert none["coverage"].count() == m.describe(sites.filter("false"), "n_reads").count() == 0
+
+
+def test_profile_runs_few_jobs_and_none_before_a_table_is_asked_for(spark, reads):
+    tracker, group = spark.sparkContext.statusTracker(), "profile"
+    spark.sparkContext.setJobGroup(group, "")
+    tables = profile(reads)
+    assert len(tracker.getJobIdsForGroup(group)) == 0
+    before = [tables[n] for n in ("coverage", "coverage_by_label", "read_boxes", "site_mean_boxes", "sites_per_gene_described")]
+    built = len(tracker.getJobIdsForGroup(group))
+    assert len(before) == 5 and built <= 40
+    tables["sites_per_transcript_described"], tables["coverage"]
+    assert len(tracker.getJobIdsForGroup(group)) == built
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_profile_gives_every_table(reads):
     tables = profile(reads)
     assert tables["sites"].count() == 5
     for name, table in tables.items():
         assert table.columns and table.count() >= 0, name
     assert tables["read_boxes"].count() == 6
-    tables["sites"].unpersist()
     labels = s.site_table(reads).select(*SITE_KEYS, "label").filter("label IS NOT NULL")
     graded = profile(reads, labels, binary=False)
     assert graded["sites_per_transcript"].count() == 3
     assert graded["site_means"].count() == 5
-    graded["sites"].unpersist()

@@ -1,9 +1,18 @@
 """Equi-joins on the site key with a checked cardinality."""
 
-from pyspark.sql import DataFrame
+import json
+import re
+from functools import reduce
+from operator import and_
+
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitesignal.schema import SITE_KEYS
+from sitesignal.sources.scratch import settle
+
+REPEATED = "repeated key in the table"
 
 CARDINALITIES = {
     "one_to_one": (True, True),
@@ -12,24 +21,37 @@ CARDINALITIES = {
 }
 
 
-def require_unique(df: DataFrame, keys, side: str) -> None:
-    repeated = df.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).collect()
-    if repeated:
-        raise ValueError(f"Keys are not unique in the {side} table: {repeated[0][:-1]}")
+def _unique(df: DataFrame, keys, side: str) -> DataFrame:
+    """The rows, of which a repeated key ends the job: counted where the join has its rows anyway."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    message = F.concat(F.lit(f"{REPEATED} {side} "), F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), F.lit(" ;"))
+    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    return df.withColumn("_n", n).filter(F.when(whole & (F.col("_n") > 1), F.raise_error(message).cast("boolean")).otherwise(True)).drop("_n")
 
 
 def validated_join(
     left: DataFrame, right: DataFrame, on=SITE_KEYS, how="inner", validate="one_to_one"
 ) -> DataFrame:
-    """Join after checking that the keys are unique where ``validate`` says so."""
+    """Join; keys must be unique where ``validate`` says so, else ``ValueError`` names a repeated one.
+
+    Each side is shuffled once: rows of a key are counted in the join's own
+    partitions, and the joined rows are written to the shared folder as they are checked. A null
+    key matches nothing and is never a repeated one.
+    """
     if validate not in CARDINALITIES:
         raise ValueError(f"validate must be one of {sorted(CARDINALITIES)}.")
+    on = list(on)
     left_unique, right_unique = CARDINALITIES[validate]
-    if left_unique:
-        require_unique(left, on, "left")
-    if right_unique:
-        require_unique(right, on, "right")
-    return left.join(right, on, how)
+    left = _unique(left, on, "left") if left_unique else left
+    right = _unique(right, on, "right") if right_unique else right
+    try:
+        return settle(left.join(right, on, how))
+    except PySparkException as error:
+        found = re.search(rf"{REPEATED} (left|right) (\{{.*?\}}) ;", str(error))
+        if not found:
+            raise
+        key = tuple(json.loads(found[2]).values())
+        raise ValueError(f"Keys are not unique in the {found[1]} table: {key}") from None
 
 
 def attach_labels(sites: DataFrame, labels: DataFrame, validate: bool = True) -> DataFrame:

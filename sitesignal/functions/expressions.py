@@ -38,8 +38,11 @@ def present(c) -> Column:
 
 
 def strict_double(c) -> Column:
-    """Text or number as a double; text that is no number fails the query."""
-    return _column(c).cast("double")
+    """Text or number as a double; text that is no number fails the query, whatever ANSI mode says."""
+    column = _column(c)
+    number = column.try_cast("double")
+    failed = F.raise_error(F.concat(F.lit("not a number: "), column.cast("string"))).cast("double")
+    return F.when(column.isNotNull() & number.isNull(), failed).otherwise(number)
 
 
 def central_kmer(sequence="sequence") -> Column:

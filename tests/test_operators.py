@@ -174,7 +174,7 @@ def test_missing_groups_and_text_values(spark):
     assert [r.label for r in m.describe(df, "x", by="label").collect()] == [0.0]
     text = spark.createDataFrame([(0.0, "1.5"), (0.0, "many")], "label double, x string")
     for table in (d.box_stats, lambda df, columns: d.density_by_label(df, columns)):
-        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        with pytest.raises(Exception, match="not a number"):
             table(text, ["x"]).collect()
 
 
@@ -291,3 +291,19 @@ def test_profile_gives_every_table(reads):
     graded = profile(reads, labels, binary=False)
     assert graded["sites_per_transcript"].count() == 3
     assert graded["site_means"].count() == 5
+
+
+def test_a_text_that_is_no_number_fails_in_either_mode(spark):
+    from sitesignal.functions import strict_double
+
+    df = spark.createDataFrame([("1.5",), (None,), ("x",)], "v string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for mode in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", mode)
+            with pytest.raises(Exception, match="not a number: x"):
+                df.select(strict_double("v").alias("v")).collect()
+            good = df.filter("v is null or v <> 'x'").select(strict_double("v").alias("v")).collect()
+            assert [r.v for r in good] == [1.5, None]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)

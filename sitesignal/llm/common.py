@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sitesignal.sources.scratch import scratch_path, settle, shared_folder
 
-__all__ = ["arrow_rows", "folds", "map_batches", "numbered", "scratch_path", "settle", "shared_folder", "slices"]
+__all__ = ["apart", "arrow_rows", "folds", "map_batches", "numbered", "scratch_path", "settle", "shared_folder", "slices", "together"]
 
 ARROW = {
     "bigint": pa.int64(),
@@ -63,6 +63,37 @@ def map_batches(df: DataFrame, prepare, columns: list[tuple[str, str]], rows: in
     return df.mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind in columns))
 
 
+def apart(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, str | None]:
+    """The columns that an operator needs and all others as one column, and that column's name.
+
+    So no name that the operator uses inside can clash with a column of the input.
+    """
+    others = [c for c in docs.columns if c not in needed]
+    rest = next(f"rest{i}" for i in range(len(needed) + 1) if f"rest{i}" not in needed) if others else None
+    columns = [F.col(f"`{c}`") for c in docs.columns if c in needed]
+    packed = [F.struct(*[F.col(f"`{c}`") for c in others]).alias(rest)] if rest else []
+    return docs.select(*columns, *packed), rest
+
+
+def together(out: DataFrame, docs: DataFrame, rest: str | None, results: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
+    """The columns of ``docs`` again, and the results of the operator.
+
+    A column of the input that is named like a result is replaced, or with ``keep`` kept
+    (and that result left out).
+    """
+    if keep:
+        results = tuple(r for r in results if r not in docs.columns)
+    columns = [
+        F.col(f"`{c}`") if c in results or c in out.columns and c not in _fields(out, rest) else F.col(f"`{rest}`.`{c}`").alias(c)
+        for c in docs.columns
+    ]
+    return out.select(*columns, *[r for r in results if r not in docs.columns])
+
+
+def _fields(out: DataFrame, rest: str | None) -> set[str]:
+    return set(out.schema[rest].dataType.names) if rest else set()
+
+
 def folds(column: str, n: int) -> Column:
     """crc32 of the decimal text of an integer column, modulo ``n``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitesignal.llm.common import settle
+from sitesignal.llm.common import apart, settle, together
 
 SWEEPS = 10
 SETTLED_EVERY = 5
@@ -106,9 +106,11 @@ def mix(
     their cells. A null source or language is a category (``(none)``) of its
     own; a null or empty text has no weight and is kept (p is 1); rows of one
     id share its chance; a null id takes its text's; columns named like a
-    result are replaced. An empty table gives an empty one.
+    result are replaced, others keep their values whatever their names. ``topic`` and ``weight`` are SQL
+    over doc_id, text, source and lang. An empty table gives an empty one.
     """
-    rows = docs.withColumns({"topic": F.expr(topic), "weight": F.expr(weight)})
+    own, rest = apart(docs, ("doc_id", "text", "source", "lang"))
+    rows = own.withColumns({"topic": F.expr(topic), "weight": F.expr(weight)})
     slim = settle(
         rows.groupBy(
             F.coalesce("source", F.lit(NONE)).alias("__source"),
@@ -137,8 +139,5 @@ def mix(
         found = F.col("__p").isNotNull() | (F.col("weight") == 0)
         rows = rows.where(found).unionByName(rows.where(~found).drop("__p").join(others, keys, "left"))
     p = F.when(F.col("weight") == 0, 1.0).otherwise(F.coalesce("__p", F.lit(0.0)))
-    return (
-        rows.withColumn("p", p)
-        .withColumn("sampled", F.expr(CHANCE) < F.col("p"))
-        .drop(*keys, "__p")
-    )
+    rows = rows.withColumn("p", p).withColumn("sampled", F.expr(CHANCE) < F.col("p"))
+    return together(rows, docs, rest, ("topic", "weight", "p", "sampled"))

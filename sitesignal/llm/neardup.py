@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesignal.llm.bpe import Memory
-from sitesignal.llm.common import arrow_rows, map_batches, settle
+from sitesignal.llm.common import apart, arrow_rows, map_batches, settle, together
 from sitesignal.llm.spots import SIGNS
 
 WIDTH = 5
@@ -319,9 +319,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents of which one stays for each class, with their columns; repeated rows once."""
+    """The documents of which one stays for each class, with their columns, whatever their names; repeated rows once.
+
+    Null ids and texts, empty and long texts, ties and an empty table are as in ``near_duplicates``.
+    """
     kept = near_duplicates(docs, threshold).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__rep"), F.col("tid").alias("__tid"))
-    columns = docs.columns
-    keyed = docs.withColumns({"__rep": F.coalesce("doc_id", F.lit(NO_ID)), "__tid": text_id()})
+    own, rest = apart(docs, ("doc_id", "text"))
+    keyed = own.withColumns({"__rep": F.coalesce("doc_id", F.lit(NO_ID)), "__tid": text_id()})
     once = keyed.join(kept, ["__rep", "__tid"], "left_semi").dropDuplicates(["__rep", "__tid"])
-    return once.select(*columns)
+    return together(once, docs, rest)

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitesignal.llm.common import apart, together
+
 #: Common words of the languages in question.
 STOP_WORDS = (
     "the be to of and that have with in is it for on as are this was by from an a "
@@ -37,6 +39,11 @@ RULES = (
     Rule("open_lines", "n_open_lines / nullif(n_lines, 0)", most=0.3),
     Rule("capitals", "n_capitals / nullif(word_chars, 0)", most=0.5),
 )
+#: The columns that ``judge`` adds.
+RESULTS = (
+    *("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_list_lines", "n_open_lines"),
+    *("n_capitals", "n_repeat_words", "failed_rules", "base_failed", "kept"),
+)
 #: The rules whose failing is reported as base_failed.
 BASE = ("words", "repeated_words")
 
@@ -97,9 +104,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     One projection of built-in functions, without a shuffle. Words are runs of
     other signs than the six ASCII white space characters. A null text has no
     words and fails; a null id, repeated rows and further columns pass
-    through; columns named like a result are replaced. An empty table gives an empty one.
+    through; columns named like a result are replaced, others keep their values whatever
+    their names. An empty table gives an empty one.
     """
-    out = docs
+    out, rest = apart(docs, ("doc_id", "text"))
     for name, sql in measures():
         out = out.withColumn(name, F.expr(sql))
     failed = [F.when(F.expr(verdict(r)), F.lit(r.name)) for r in rules]
@@ -111,4 +119,5 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     # Spark moves no filter past an expression that depends on the partition; it
     # would copy these measures into the filter once for every use.
     kept = F.when(F.spark_partition_id() >= 0, F.size("failed_rules") == 0)
-    return out.withColumns({"base_failed": either, "kept": kept}).drop("_t", "_b", "_w", "_l", "_h", "_g", "_s", "_p")
+    out = out.withColumns({"base_failed": either, "kept": kept})
+    return together(out, docs, rest, RESULTS)

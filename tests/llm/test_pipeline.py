@@ -2,9 +2,12 @@ import os
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sitesignal.llm.mixing import mix
+from sitesignal.llm.neardup import drop_near_duplicates
+from sitesignal.llm.rules import judge
 from tests.llm.test_linededup import check as check_lines
 from tests.llm.test_neardup import classes
 from tests.llm.test_rules import measure
@@ -52,3 +55,36 @@ def test_odd_documents(spark, odd_docs, no_docs):
             if name != "packing":
                 assert out.columns == docs.columns
             assert out.count() <= max(1, docs.count()) * 500
+
+
+INTERNAL = (
+    *("__p", "__r", "__s", "__w", "__source", "__lang", "__topic", "__weight", "__docs", "__rep", "__tid", "__key", "__runs"),
+    *("_t", "_b", "_w", "_l", "_h", "_g", "_s", "_p", "rest0", "rest1", "a.b"),
+)
+RESULTS = ("kept", "n_words", "failed_rules", "n_lines", "removed_lines", "topic", "weight", "p", "sampled", "class_id", "tid")
+
+
+def with_names(docs, names):
+    return docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names])
+
+
+@pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES if s[0] != "packing"], ids=lambda s: s[0])
+def test_columns_of_any_name_keep_their_values(spark, odd_docs, stage):
+    names = INTERNAL + RESULTS
+    text = " ".join(f"the tale{i} and song{i} of town{i}" for i in range(20))
+    good = spark.createDataFrame([(90, text, "en", "s0", len(text))], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    some = odd_docs.select(good.columns).union(good)
+    plain, docs = with_names(some, ()), with_names(some, names)
+    out = stage[1](spark, docs, None)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert all(r[n] == f"{n} of {'-' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+    key = lambda r: repr(tuple(r)[:5])
+    assert sorted(map(key, rows)) == sorted(map(key, stage[1](spark, plain, None).collect())) and rows
+
+
+def test_operators_keep_columns_that_are_named_like_their_own(odd_docs):
+    docs = with_names(odd_docs, INTERNAL)
+    for out, added in ((mix(docs), 4), (judge(docs), 13), (drop_near_duplicates(docs), 0)):
+        assert out.columns[: len(docs.columns)] == docs.columns and len(out.columns) == len(docs.columns) + added
+        assert all(r[n] == f"{n} of {'-' if r.doc_id is None else r.doc_id}" for r in out.collect() for n in INTERNAL)

@@ -26,8 +26,16 @@ UNIT = regex.compile(
 )
 SPACE = regex.compile(r"\s*")
 CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
-MEMORY = 250_000
+#: Words that a worker remembers, about 200 bytes each and at most twice as many for a while.
+MEMORY = 800_000
+#: Units of texts and words that are not one unit themselves.
+UNIT_MEMORY = 100_000
 LONGEST_KEPT = 64
+#: Lengths in bytes, longest first, at which the state of a word is remembered, and of how many beginnings.
+CUTS = (10, 7, 4)
+BEGINNINGS = 50_000
+#: Pairs of tokens of which it is remembered whether they are compatible.
+PAIRS = 100_000
 
 
 def default_path() -> str:
@@ -70,12 +78,18 @@ def plain_pieces(text: str) -> list[str] | None:
 class Coder:
     """Joins what ``make`` gives for the units of a text; ``make`` returns bytes.
 
-    Words with what surrounds them are remembered whole, and so are their units.
+    Words with the space before them are remembered; the units of other texts in a memory of their own.
     """
 
     def __init__(self, make):
-        self.units = Memory(make)
-        self.spaced = Memory(lambda w: self.by_units(w if w[0] == "\n" else " " + w))
+        self.make = make
+        self.units = Memory(make, UNIT_MEMORY)
+        self.spaced = Memory(self.by_word)
+
+    def by_word(self, word: str) -> bytes:
+        text = word if word[0] == "\n" else " " + word
+        units = UNIT.findall(text)
+        return self.make(text) if len(units) == 1 else b"".join(map(self.units.__getitem__, units))
 
     def by_units(self, text: str) -> bytes:
         return b"".join(map(self.units.__getitem__, UNIT.findall(text)))
@@ -121,7 +135,8 @@ class PrefixCounter:
     The code of a prefix ends in exactly one token that is compatible with the
     last token of the shorter prefix before it: two tokens are compatible if
     the pair codes to itself. So the last token and the count of a prefix
-    follow from those of shorter prefixes, and no prefix is coded anew.
+    follow from those of shorter prefixes, and no prefix is coded anew. The
+    state at a few lengths is remembered, so words share that of a common beginning.
     """
 
     def __init__(self, path: str):
@@ -140,6 +155,10 @@ class PrefixCounter:
             self.rank[as_bytes(a), as_bytes(b)] = i
         #: How each token is merged: left part, right part, rank.
         self.made = {a + b: (a, b, i) for (a, b), i in self.rank.items()}
+        #: Last tokens and counts of the prefixes of common beginnings of words, by their bytes.
+        self.begun: dict[bytes, tuple[tuple[bytes, ...], tuple[int, ...]]] = {}
+        self.fits = Memory(lambda pair: self.compatible(*pair), PAIRS)
+        self.blanks = Memory(self.counts, 1000)
         self.coder = Coder(self.unit_steps)
 
     def compatible(self, a: bytes, b: bytes) -> bool:
@@ -165,17 +184,25 @@ class PrefixCounter:
     def counts(self, word: str) -> list[int]:
         """Tokens of each prefix of one word, by its code points, from 0 on."""
         data = word.encode("utf-8", "surrogatepass")
-        tokens, longest = self.tokens, self.longest
+        tokens, longest, fits = self.tokens, self.longest, self.fits
         last, count = [b""], [0]
-        for end in range(1, len(data) + 1):
+        for cut in CUTS:
+            if cut < len(data) and data[:cut] in self.begun:
+                last, count = map(list, self.begun[data[:cut]])
+                break
+        for end in range(len(last), len(data) + 1):
             for start in range(max(0, end - longest), end):
                 token = data[start:end]
-                if token in tokens and (start == 0 or self.compatible(last[start], token)):
+                if token in tokens and (start == 0 or fits[last[start], token]):
                     last.append(token)
                     count.append(count[start] + 1)
                     break
             else:
                 raise ValueError("no token fits; the vocabulary lacks a byte")
+            if end in CUTS and end < len(data):
+                if len(self.begun) >= BEGINNINGS:
+                    self.begun.clear()
+                self.begun[data[:end]] = tuple(last), tuple(count)
         if len(data) == len(word):
             return count
         at, out = 0, [0]
@@ -195,9 +222,9 @@ class PrefixCounter:
             return self.counts(unit)
         if word in CONTRACTIONS:
             return [self.whole(unit[:k]) for k in range(len(unit) + 1)]
-        if not space:
-            return self.counts(word)
-        blank = self.counts(space)
+        if space in ("", " "):
+            return self.counts(unit)
+        blank = self.blanks[space]
         if space[-1] == " ":
             base, tail = blank[-2], self.counts(" " + word)[2:]
         else:

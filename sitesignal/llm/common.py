@@ -12,6 +12,9 @@ from sitesignal.sources.scratch import scratch_path, settle, shared_folder
 
 __all__ = ["apart", "arrow_rows", "folds", "map_batches", "numbered", "scratch_path", "settle", "shared_folder", "slices", "together"]
 
+#: In how many parts the rows of a group are numbered.
+NUMBER_SLICES = 1024
+
 ARROW = {
     "bigint": pa.int64(),
     "int": pa.int32(),
@@ -102,12 +105,13 @@ def folds(column: str, n: int) -> Column:
 def numbered(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """Number the rows of each group from 0, in no set order, without gathering a group.
 
-    Rows are split by a hash into slices; a slice's first number is the sum of
+    Rows are split by a hash into slices, as many whatever the session's settings, so the
+    numbers follow from the rows alone; a slice's first number is the sum of
     the sizes of the slices before it.
     """
     from pyspark.sql import Window
 
-    part = F.pmod(F.xxhash64(*order), F.lit(slices(df.sparkSession)))
+    part = F.pmod(F.xxhash64(*order), F.lit(NUMBER_SLICES))
     df = df.withColumn("__slice", part)
     sizes = df.groupBy(*group, "__slice").agg(F.count("*").alias("__size"))
     before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sitesignal.llm.divergence import LEAST_DOCS, TERM_RANKS, source_divergence
 from sitesignal.llm.langid import identify
 from sitesignal.llm.linededup import dedup_lines
-from sitesignal.llm.mixing import SWEEPS, TEMPER, TOPIC, mix
+from sitesignal.llm.mixing import NONE, SWEEPS, TEMPER, TOPIC, mix
 from sitesignal.llm.neardup import near_duplicates
 from sitesignal.llm.negatives import hard_negatives
 from sitesignal.llm.packing import pack
@@ -147,17 +147,18 @@ def mixing_sql() -> str:
             at = to
     return f"""
 WITH rows AS (
-  SELECT doc_id, source, lang, CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT) AS weight,
+  SELECT doc_id, source, lang, coalesce(source, '{NONE}') AS s, coalesce(lang, '{NONE}') AS l, CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT) AS weight,
     {TOPIC} AS topic,
-    CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u
+    CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u
   FROM documents),
-cells AS (SELECT source, lang, topic, CAST(sum(weight) AS DOUBLE) AS w FROM rows GROUP BY ALL),
+cells AS (SELECT s AS source, l AS lang, topic, CAST(sum(weight) AS DOUBLE) AS w FROM rows GROUP BY ALL),
 wanted AS (SELECT source, lang, topic, w, {wants} FROM cells WHERE w > 0),
 r0 AS (SELECT source, lang, topic, w, {norms}, w / sum(w) OVER () AS r FROM wanted),
 {", ".join(steps)},
 p AS (SELECT source, lang, topic, (r / w) / max(r / w) OVER () AS p FROM {at})
-SELECT doc_id, rows.source, rows.lang, rows.topic, weight, round(p.p, 9) AS p, u < p.p AS sampled
-FROM rows JOIN p ON p.source = rows.source AND p.lang = rows.lang AND p.topic = rows.topic
+SELECT doc_id, rows.source, rows.lang, rows.topic, weight, round(CASE WHEN weight = 0 THEN 1 ELSE p.p END, 9) AS p,
+  weight = 0 OR u < p.p AS sampled
+FROM rows LEFT JOIN p ON p.source = s AND p.lang = l AND p.topic = rows.topic
 """
 
 

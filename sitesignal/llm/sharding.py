@@ -27,10 +27,12 @@ def group_shards(groups: DataFrame, shards: int) -> DataFrame:
 
     Groups of at least a 64th of a shard's share, at most 64 times the shards
     in number, are scheduled exactly on the driver. The others are dealt by a hash
-    of their key into blocks; each block schedules its groups, sorted by size,
+    of their key into 4,096 blocks, whatever the session's settings; each block schedules its groups, sorted by size,
     onto as many bins as there are shards, and the bins of all blocks are then
     scheduled like groups, largest first, on top of the large groups' loads. So
-    only bin loads (at most 4,096 blocks times the shards) meet in one place.
+    only bin loads (at most 4,096 blocks times the shards) meet in one place. Within a
+    block, loads differ by at most its largest group, a 64th of a shard's share; with
+    fewer groups than blocks the schedule is close to that of all groups together.
     """
     spark = groups.sparkSession
     groups = settle(groups.select("key", "size"))
@@ -42,11 +44,10 @@ def group_shards(groups: DataFrame, shards: int) -> DataFrame:
         (r["key"], s) for r, s in zip(first, least_loaded((r["size"] for r in first), loads), strict=True)
     ]
 
-    blocks = min(BLOCKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     small = (
         groups.where(~large)
-        .withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-        .repartition(blocks, "block")
+        .withColumn("block", F.pmod(F.xxhash64("key"), F.lit(BLOCKS)).cast("int"))
+        .repartition("block")
         .sortWithinPartitions("block", F.desc("size"), "key")
     )
 

@@ -26,3 +26,18 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(odd_docs):
     return odd_docs.where("false")
+
+
+@pytest.fixture
+def rows_at(spark):
+    """The rows of a query, in order, under some number of shuffle partitions."""
+
+    def rows(partitions, make):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        try:
+            return sorted(map(tuple, make().collect()), key=repr)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    return rows

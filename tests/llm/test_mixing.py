@@ -1,8 +1,10 @@
 import os
 
+import duckdb
 import pytest
 
 from sitesignal.llm.mixing import DIMENSIONS, TEMPER, mix
+from sitesignal.llm.queries import mixing_sql
 
 DATA = "/root/testdata/sf0.01"
 
@@ -80,3 +82,18 @@ def test_odd_documents(odd_docs, no_docs):
     assert all(0 <= r.p <= 1 and r.p is not None for r in rows)
     assert all(r.sampled and r.p == 1 for r in rows if not r.text)
     assert mix(no_docs).count() == 0
+
+
+def test_sql_of_null_categories_and_texts(odd_docs):
+    columns = ["doc_id", "source", "lang", "topic", "weight", "p", "sampled"]
+    documents = odd_docs.select("doc_id", "text", "lang", "source").toPandas()
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    connection = duckdb.connect()
+    connection.register("documents", documents)
+    want = connection.sql(f"SELECT {', '.join(columns)} FROM ({mixing_sql()}) AS x").fetchall()
+    got = mix(odd_docs).select(*columns).collect()
+
+    def plain(rows):
+        return sorted([(*r[:5], round(r[5], 7), r[6]) for r in map(tuple, rows)], key=repr)
+
+    assert plain(got) == plain(want) and len(want) == odd_docs.count()

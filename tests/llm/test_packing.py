@@ -63,3 +63,9 @@ def test_pack(odd_docs, no_docs):
         expected[r.doc_id, len(ids)] += len(ids)
     assert {k: sum(len(x) for _, x in v) // 4 for k, v in documents.items()} == expected
     assert pack(no_docs).count() == 0
+
+
+def test_no_setting_changes_a_sequence(spark, rows_at):
+    docs = spark.range(300).selectExpr("id as doc_id", "repeat(concat('word', id % 90, ' '), cast(1 + id % 50 as int)) as text")
+    first = rows_at(4, lambda: pack(docs, window=64))
+    assert first == rows_at(7, lambda: pack(docs, window=64)) == rows_at(211, lambda: pack(docs, window=64))

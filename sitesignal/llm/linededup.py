@@ -118,37 +118,64 @@ def agreeing(a: str, b: str):
     return F.expr(f"cast(if({first} = 0, size({a}), {first} - 1) as int)")
 
 
+def farther_runs(later: DataFrame) -> DataFrame:
+    """key and run where an earlier place of a gram shares more of a side than the gram's first place.
+
+    Such a place has left the first one at the same line, so it is itself among the places whose match
+    ended early. These are grouped by every longer stretch from the gram on (one row for each line of it);
+    the first place of a stretch keeps it, the others have it again. The longest counts.
+    """
+    open_sides = later.select("gram", "doc_id", "key", "line", F.inline("open_sides"))
+    stretch = F.explode(
+        F.expr("transform(sequence(agreed + 1, size(at)), k -> struct(at[k - 1] as end, xxhash64(side, slice(lines, 1, k)) as stretch))")
+    )
+    ends = open_sides.select("gram", "doc_id", "key", "line", "side", stretch.alias("e")).select("gram", "doc_id", "key", "line", "side", "e.*")
+    place = F.struct("doc_id", "key", "line")
+    firsts = ends.groupBy("gram", "stretch").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    again = ends.join(firsts.where("first != last").drop("last"), ["gram", "stretch"])
+    again = again.where((F.col("key") != F.col("first.key")) | (F.col("line") != F.col("first.line")))
+    farthest = again.groupBy("key", "line", "side").agg(F.min("end").alias("least"), F.max("end").alias("most"))
+    ends = F.struct(F.least("least", "line").alias("first"), F.greatest("most", "line").alias("last"))
+    return farthest.select("key", ends.alias("run"))
+
+
 def repeated_runs(docs: DataFrame, noise: int = NOISE_WORDS, run: int = RUN_WORDS) -> DataFrame:
     """The line ranges to delete: key and runs, an array of (first, last) line numbers.
 
     Each fingerprint's first place, by doc_id and line, is its source. Every
     later place is joined to it, and the match is extended both ways while
-    lines agree. Places are never paired with each other, and a fingerprint in
+    lines agree; where it ends early, ``farther_runs`` looks at the other places. Places are never
+    paired with each other, and a fingerprint in
     a third of all documents is found by a partial minimum and joined to one row.
     """
-    rows = settle(fingerprint_rows(docs, noise, run))
-    place = F.struct("doc_id", "key", F.element_at("ahead_at", 1).alias("line"), "back", "ahead")
-    sources = rows.groupBy("gram").agg(F.min(place).alias("source"), F.count("*").alias("n"))
-    later = rows.join(sources.where(F.col("n") > 1), "gram").where(
-        (F.col("key") != F.col("source.key")) | (F.element_at("ahead_at", 1) != F.col("source.line"))
+    rows = settle(fingerprint_rows(docs, noise, run)).withColumn("line", F.element_at("ahead_at", 1))
+    place = F.struct("doc_id", "key", "line", "back", "ahead")
+    sources = rows.groupBy("gram").agg(F.min(place).alias("source"), F.count("*").alias("source_places"))
+    later = rows.join(sources.where(F.col("source_places") > 1), "gram").where(
+        (F.col("key") != F.col("source.key")) | (F.col("line") != F.col("source.line"))
     )
     later = later.withColumn("up", agreeing("back", "source.back")).withColumn(
         "down", agreeing("ahead", "source.ahead")
     )
-    first = F.expr("if(up > 0, back_at[up - 1], ahead_at[0])")
+    first = F.expr("if(up > 0, back_at[up - 1], line)")
     last = F.expr("ahead_at[down - 1]")
-    runs = later.select("key", F.struct(first.alias("first"), last.alias("last")).alias("run"))
-    return runs.groupBy("key").agg(F.collect_set("run").alias("runs"))
+    sides = [
+        F.struct(F.lit(side).alias("side"), F.col(at).alias("at"), F.col(lines).alias("lines"), F.col(agreed).alias("agreed"))
+        for side, (at, lines, agreed) in enumerate([("back_at", "back", "up"), ("ahead_at", "ahead", "down")])
+    ]
+    ended = F.filter(F.array(*sides), lambda s: (s["agreed"] < F.size(s["at"])) & (F.col("source_places") > 2))
+    run_found = F.struct(first.alias("first"), last.alias("last")).alias("run")
+    later = settle(later.select("gram", "doc_id", "key", "line", run_found, ended.alias("open_sides")))
+    runs = later.select("key", "run")
+    return runs.unionByName(farther_runs(later)).groupBy("key").agg(F.collect_set("run").alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, noise: int = NOISE_WORDS, run: int = RUN_WORDS) -> DataFrame:
     """All rows and columns, ``text`` without later repeated runs; adds n_lines and removed_lines.
 
     A run of lines with ``run`` or more words that occurred before, in a
-    document with a smaller id or further up in the same one, is deleted but for
-    fewer than ``run`` words at either end: a fingerprint is matched to its first place only, so
-    where that place's match ends before a later place's would, the ends can stay. Of
-    runs with ``noise`` to ``run`` words some are deleted; shorter ones never.
+    document with a smaller id or further up in the same one, is deleted in full, whichever
+    of its earlier places has most of it. Of runs with ``noise`` to ``run`` words some are deleted; shorter ones never.
     Only whole lines count: of a passage that begins or ends inside a line its whole
     lines are seen, and one inside a single line is not seen at all.
     Of every deleted line an equal one stays elsewhere. ``removed_lines`` are

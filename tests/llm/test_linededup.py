@@ -86,6 +86,62 @@ def test_a_copy_becomes_empty(spark):
     assert out == {1: text, 2: ""}
 
 
+def places_before(rows):
+    """For each document, for each line, the most words of a run around it that an earlier place has too."""
+    docs = [(i, [x.strip() for x in t.split("\n")]) for i, t in sorted(rows)]
+    most = {i: [0] * len(lines) for i, lines in docs}
+    for m, (i, lines) in enumerate(docs):
+        for _, other in docs[: m + 1]:
+            for shift in range(-len(lines), len(other)):
+                if other is lines and shift >= 0:
+                    continue
+                at = 0
+                while at < len(lines):
+                    end = at
+                    while end < len(lines) and 0 <= end + shift < len(other) and lines[end] == other[end + shift]:
+                        end += 1
+                    words = sum(len(x.split()) for x in lines[at:end])
+                    for k in range(at, end):
+                        most[i][k] = max(most[i][k], words)
+                    at = max(end, at + 1)
+    return most
+
+
+def test_runs_go_in_full_whichever_place_has_most_of_them(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = []
+    for case in range(150):
+        passage = [line(10) for _ in range(7)]
+        for k, part in enumerate([passage[:5], passage, passage]):
+            rows.append((3 * case + k, "\n".join([line(5), *part, line(5)])))
+    kept = {r.doc_id: r for r in dedup_lines(make(spark, rows)).collect()}
+    assert all(kept[i].removed_lines == [[], [1, 2, 3, 4, 5], list(range(1, 8))][i % 3] for i in kept)
+
+
+def test_equals_brute_force_on_cut_passages(spark):
+    """Every line of a run of 50 words that occurred before goes; every line that goes is in one of 25."""
+    rng = random.Random(9)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passages = [[line(rng.choice([1, 4, 9, 17])) for _ in range(20)] for _ in range(3)]
+    rows = []
+    for i in range(60):
+        text = []
+        for _ in range(rng.randint(1, 3)):
+            passage = rng.choice(passages)
+            a, b = sorted(rng.sample(range(len(passage) + 1), 2))
+            text += [line(rng.randint(1, 9)), *passage[a:b]]
+        rows.append((i, "\n".join(text)))
+    most = places_before(rows)
+    full = 0
+    for r in dedup_lines(make(spark, rows)).collect():
+        gone = set(r.removed_lines)
+        assert {k for k, words in enumerate(most[r.doc_id]) if words >= 50} <= gone
+        assert all(most[r.doc_id][k] >= 25 for k in gone)
+        full += len(gone)
+    assert full > 300
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")

@@ -15,7 +15,7 @@ from sitesignal.llm.rules import RULES, STOP_WORDS, judge
 from sitesignal.llm.sharding import shard
 from sitesignal.llm.simhash import simhash_components
 from sitesignal.llm.spots import edited_fingerprints
-from sitesignal.llm.tokens import prefix_token_counts
+from sitesignal.llm.tokens import prefix_token_counts, truncated
 from sitesignal.llm.toxicity import rate
 
 
@@ -24,8 +24,8 @@ def documents(spark, sf_dir):
 
 
 def op1_token_counts(spark, sf_dir):
-    counts = prefix_token_counts(documents(spark, sf_dir), keep=False)
-    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+    counts = truncated(prefix_token_counts(documents(spark, sf_dir)), 1024)
+    return counts.withColumn("over_limit", F.col("prefix_chars") < F.col("n_chars"))
 
 
 def op2_sharding(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sitesignal.llm.bpe import default_path, prefix_counter
 from sitesignal.llm.common import map_batches
@@ -48,7 +49,10 @@ def prefix_token_counts(docs: DataFrame, tokenizer: str | None = None, keep: boo
 
 
 def tokens_of_prefixes(counts: DataFrame, n_chars: int) -> DataFrame:
-    """doc_id and the tokens of the text's first ``n_chars`` code points, from stored steps."""
+    """doc_id and the tokens of the text's first ``n_chars`` code points, from stored steps, row by row.
+
+    A shorter text counts whole, an empty one 0; null ids and repeated rows are kept; no counts give no rows.
+    """
 
     def prepare():
         def step(part):
@@ -62,16 +66,28 @@ def tokens_of_prefixes(counts: DataFrame, n_chars: int) -> DataFrame:
     )
 
 
+def longest_prefix(steps: bytes, budget: int) -> int:
+    """The code points of the longest prefix with at most ``budget`` tokens."""
+    fits = np.flatnonzero(np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64) <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
+
+
 def longest_prefixes(counts: DataFrame, budget: int) -> DataFrame:
-    """doc_id and the code points of the longest prefix with at most ``budget`` tokens."""
+    """doc_id and n_chars, the code points of the longest prefix with at most ``budget`` tokens, row by row."""
+    return truncated(counts, budget).select("doc_id", F.col("prefix_chars").alias("n_chars"))
 
-    def prepare():
-        def longest(steps):
-            fits = np.flatnonzero(np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64) <= budget)
-            return int(fits[-1]) + 1 if len(fits) else 0
 
-        return lambda part: [part["doc_id"], [longest(s) for s in part["steps"]]]
+def truncated(counts: DataFrame, budget: int) -> DataFrame:
+    """The counts and, from their stored steps, where each text is to be cut: prefix_chars in place of ``steps``.
 
-    return map_batches(
-        counts.select("doc_id", "steps"), prepare, [("doc_id", "bigint"), ("n_chars", "bigint")]
-    )
+    ``prefix_chars`` are the code points of the longest prefix with at most ``budget`` tokens. It is all of a text
+    that fits, also of an empty one, and 0 where already the first code point does not fit. Null ids and
+    repeated rows are kept row by row; no counts give no rows.
+    """
+    numbers = ["doc_id", "n_bytes", "n_chars", "n_tokens"]
+
+    def prepare():
+        return lambda part: [*(part[c] for c in numbers), [longest_prefix(s, budget) for s in part["steps"]]]
+
+    columns = [(c, "bigint") for c in [*numbers, "prefix_chars"]]
+    return map_batches(counts.select(*numbers, "steps"), prepare, columns)

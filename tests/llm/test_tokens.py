@@ -5,7 +5,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from sitesignal.llm.bpe import Coder, default_path, ids_coder, prefix_counter
-from sitesignal.llm.tokens import longest_prefixes, prefix_token_counts, tokens_of_prefixes
+from sitesignal.llm.tokens import longest_prefixes, prefix_token_counts, tokens_of_prefixes, truncated
 
 PARTS = ["a", "the", " ", "  ", "\n", "\t", "'s", "'", "'re", "!", "..", "é", "12", "\x1c", " ", "<|endoftext|>", "Zx", "'ll", "\r\n", "日本", "😀", " don't", "'T"]
 
@@ -51,3 +51,24 @@ def test_counts_budgets_and_prefixes(spark, odd_docs, no_docs):
         fits = [k for k in range(len(text) + 1) if len(tokenizer.encode(text[:k], add_special_tokens=False).ids) <= 5]
         assert row.n_chars == max(fits)
     assert prefix_token_counts(no_docs).count() == 0
+
+
+def test_cuts_from_stored_steps_equal_encoding_every_prefix(spark, odd_docs, no_docs):
+    tokenizer = Tokenizer.from_file(default_path())
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    rows += [(60, None), (None, "the the the"), (None, "the the the")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for budget in (0, 1, 12):
+        expected = []
+        for doc_id, text in rows:
+            text = text or ""
+            counts = [len(e.ids) for e in tokenizer.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
+            longest = max(k for k, n in enumerate(counts) if n <= budget)
+            expected.append((doc_id, len(text.encode()), len(text), counts[-1], longest))
+        found = [tuple(r) for r in truncated(prefix_token_counts(docs), budget).collect()]
+        order = lambda r: (r[0] is None, r)
+        assert sorted(found, key=order) == sorted(expected, key=order)
+        assert all((r[4] < r[2]) == (r[3] > budget) for r in found)
+    assert truncated(prefix_token_counts(odd_docs), 1024).count() == odd_docs.count()
+    assert truncated(prefix_token_counts(no_docs), 1024).count() == 0

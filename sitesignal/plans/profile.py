@@ -13,7 +13,6 @@ from sitesignal.operators import quality as q
 from sitesignal.operators import sites as s
 from sitesignal.operators import summaries as m
 from sitesignal.operators.quantiles import counted, described, in_ranges
-from sitesignal.schema import CENTRAL_SIGNALS
 from sitesignal.sources.scratch import settle
 
 PLAIN = (0.25, 0.5, 0.75)
@@ -25,9 +24,10 @@ class Profile(Mapping):
     """Tables that describe one data set, by name; each is built when it is first asked for.
 
     What several tables need is computed once and written to the shared folder: the
-    site table, the site means, and one table of value counts, dealt by ranges,
-    from which all percentiles, moments and boxes are taken. Use it inside
-    ``scratch.scratch_tables`` to have these deleted at the end.
+    site table, the site means, and one table of value counts over the sites, dealt
+    by ranges, from which all percentiles and moments are taken. Boxes count values of
+    their own, so a table over sites never waits for the values of all reads. Use it
+    inside ``scratch.scratch_tables`` to have these deleted at the end.
     """
 
     def __init__(self, reads: DataFrame, labels: DataFrame | None = None, binary: bool = True):
@@ -60,8 +60,8 @@ class Profile(Mapping):
             "site_means": lambda: self.means,
             "sites_by_label": lambda: m.label_value_counts(self.means),
             "excluded_reads": lambda: d.excluded_rows(s.labelled(reads)),
-            "read_boxes": lambda: self._boxes("read_boxes"),
-            "site_mean_boxes": lambda: self._boxes("site_mean_boxes"),
+            "read_boxes": lambda: self._boxes(s.labelled(reads)),
+            "site_mean_boxes": lambda: self._boxes(self.means),
             "signal_density": lambda: d.density_by_label(reads),
         }
         for column in ["sequence", "central_5mer"]:
@@ -104,8 +104,8 @@ class Profile(Mapping):
         return m.group_sizes(self.label_rows, "transcript_id")
 
     @cached_property
-    def _cells(self) -> DataFrame:
-        """How often each value occurs, of all tables that need its distribution; a table without labels has label 0."""
+    def _site_cells(self) -> DataFrame:
+        """How often each value occurs, of the tables over sites, which are small; a table without labels has label 0."""
         whole = lambda df, column: df.select(F.lit(0.0).alias("label"), column)
         known = s.labelled(self.sites).select(F.col("label").cast("double").alias("label"), "n_reads")
         sources = {
@@ -113,8 +113,6 @@ class Profile(Mapping):
             "coverage_by_label": (known, ["n_reads"]),
             "sites_per_gene": (whole(self.by_gene, "n_sites"), ["n_sites"]),
             "sites_per_transcript": (whole(self.by_transcript, "n_sites"), ["n_sites"]),
-            "read_boxes": (d.box_rows(s.labelled(self.reads), labels=self.wanted), CENTRAL_SIGNALS),
-            "site_mean_boxes": (d.box_rows(self.means, labels=self.wanted), CENTRAL_SIGNALS),
         }
         cells = [
             counted(df, ["label"], list(columns)).withColumn("_table", F.lit(name))
@@ -124,18 +122,16 @@ class Profile(Mapping):
 
     @cached_property
     def _stats(self) -> DataFrame:
-        """A row for each series of the counts; small."""
-        return settle(described(self._cells, SERIES, PERCENTILES))
+        """A row for each series of the counts over sites; small."""
+        return settle(described(self._site_cells, SERIES, PERCENTILES))
 
     def _described(self, name: str, percentiles, keys=()) -> DataFrame:
         stats = self._stats.filter(F.col("_table") == name)
         return m.described_columns(stats, list(keys), percentiles, PERCENTILES)
 
-    def _boxes(self, name: str) -> DataFrame:
-        own = F.col("_table") == name
-        at = [PERCENTILES.index(p) for p in PLAIN]
-        found = d.boxes(self._cells.filter(own), self._stats.filter(own), SERIES, at)
-        return found.withColumnRenamed("_column", "feature").select(*d.BOX_COLUMNS)
+    def _boxes(self, rows: DataFrame) -> DataFrame:
+        """Boxes of all reads or site means, which no other table needs to wait for."""
+        return d.box_stats(rows, labels=self.wanted)
 
 
 def profile(reads: DataFrame, labels: DataFrame | None = None, binary: bool = True) -> Profile:

@@ -307,3 +307,13 @@ def test_a_text_that_is_no_number_fails_in_either_mode(spark):
             assert [r.v for r in good] == [1.5, None]
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_tables_over_sites_do_not_count_the_values_of_all_reads(spark, reads):
+    broken = reads.withColumn("central_dwell", F.lit("not a number"))
+    with scratch_tables(spark):
+        tables = profile(broken)
+        assert tables["coverage"].first()["count"] == 5
+        assert tables["sites_per_gene_described"].first()["count"] == 2
+        with pytest.raises(Exception, match="not a number"):
+            tables["read_boxes"].collect()

@@ -30,9 +30,12 @@ from sitesignal.schema import (
 )
 from sitesignal.sources.scratch import settle
 
-# A task holds at most this many values (reads times features) of one site;
-# the quantiles of larger sites come from counts, by the same formula.
+# A task holds at most this many values of one site: all features of its reads,
+# or where these are more, one feature after the other.  The quantiles of sites
+# with more reads than this come from counts, by the same formula.
 SITE_VALUE_LIMIT = 600_000
+# Values of one feature travel in lists of at most this length.
+PIECE = 64
 # Up to this many large sites their keys are broadcast, beyond it joined.
 BROADCAST_SITES = 10_000
 
@@ -148,6 +151,144 @@ def _segment_statistics(values, site, starts):
     return {s: np.nan_to_num(stats[s], nan=0.0, posinf=np.inf, neginf=-np.inf) for s in STATISTICS}
 
 
+def deep_site_statistics(df: DataFrame, features: list[str], max_rows: int) -> DataFrame:
+    """The same statistics where sites of more than ``max_rows`` rows are reduced feature by feature.
+
+    ``df`` as for ``site_statistics``, in whose way other sites are reduced.  The
+    values of the larger ones are turned from rows to lists by feature, which
+    Spark sorts in their partition; no row is sent again.  A task holds one batch
+    and one unfinished feature of one site.
+    """
+    context = [df.schema[c] for c in SITE_CONTEXT]
+    values = T.StructField("_values", T.ArrayType(T.DoubleType()))
+    sent = T.StructType([*context, T.StructField("_feature", T.IntegerType()), values])
+    schema = T.StructType([*context, *[T.StructField(c, T.DoubleType()) for c in statistic_columns(features)]])
+    width = len(features)
+
+    def turn(batches):
+        held = deep = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if held is not None:
+                batch = _join_batches(held, batch)
+            starts = _site_starts(batch)
+            sizes = np.diff(np.append(starts, batch.num_rows))
+            large = sizes > max_rows
+            large[0] |= _site_at(batch, 0) == deep
+            held = deep = None
+            ready = ~large
+            if large[-1]:
+                deep = _site_at(batch, starts[-1])
+            else:
+                held, ready[-1] = batch.slice(starts[-1]), False
+            if ready.any():
+                yield _finished(_sites_of(batch, ready, sizes), sizes[ready], features)
+            if large.any():
+                yield from _turned(_sites_of(batch, large, sizes), sizes[large], features)
+        if held is not None:
+            yield _finished(held, np.array([held.num_rows]), features)
+
+    def merge(batches):
+        held = waiting = None
+        for batch in batches:
+            alone = batch.column("_feature").to_numpy() < 0
+            if alone.any():
+                yield _side_by_side(batch.filter(pa.array(alone)), 1, features)
+            batch = batch.filter(pa.array(~alone))
+            if batch.num_rows == 0:
+                continue
+            if held is not None:
+                batch = _join_batches(held, batch)
+            ends = np.flatnonzero(np.diff(batch.column("_feature").to_numpy())) + 1
+            starts = np.union1d(_site_starts(batch), ends)
+            held = batch.slice(starts[-1])
+            if starts[-1] > 0:
+                done = _merged(batch.slice(0, starts[-1]), starts[:-1])
+                waiting = done if waiting is None else _join_batches(waiting, done)
+                whole = waiting.num_rows // width * width
+                if whole:
+                    yield _side_by_side(waiting.slice(0, whole), width, features)
+                    waiting = waiting.slice(whole) if whole < waiting.num_rows else None
+        if held is not None:
+            done = _merged(held, np.zeros(1, dtype=np.int64))
+            yield _side_by_side(done if waiting is None else _join_batches(waiting, done), width, features)
+
+    turned = df.mapInArrow(turn, sent).sortWithinPartitions(*SITE_KEYS, "_feature", "sequence")
+    return turned.mapInArrow(merge, schema)
+
+
+def _site_at(batch, row):
+    return tuple(batch.column(k)[int(row)].as_py() for k in SITE_KEYS)
+
+
+def _sites_of(batch, chosen, sizes):
+    return batch.filter(pa.array(np.repeat(chosen, sizes)))
+
+
+def _lists(values, starts):
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values))
+
+
+def _smallest(batch, starts):
+    """Smallest ``n_reads`` of each run, null where none is given."""
+    given = batch.column("n_reads").to_numpy(zero_copy_only=False).astype(float)
+    return pa.array(np.fmin.reduceat(given, starts), from_pandas=True).cast(pa.int64(), safe=False)
+
+
+def _finished(batch, sizes, features):
+    """One row per site with all of its statistics in one list."""
+    sites = _reduce(batch, np.cumsum(sizes) - sizes, features)
+    stats = np.column_stack([sites.column(c).to_numpy() for c in statistic_columns(features)])
+    return pa.RecordBatch.from_pydict(
+        {c: sites.column(c) for c in SITE_CONTEXT}
+        | {
+            "_feature": pa.array(np.full(len(stats), -1, dtype=np.int32)),
+            "_values": _lists(stats.ravel(), np.arange(len(stats)) * stats.shape[1]),
+        }
+    )
+
+
+def _turned(batch, sizes, features):
+    """The values of each feature in lists of one site each."""
+    row = np.arange(batch.num_rows) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    starts = np.flatnonzero(row % PIECE == 0)
+    context = {c: batch.column(c).take(pa.array(starts)) for c in SITE_CONTEXT[:-1]}
+    context["n_reads"] = _smallest(batch, starts)
+    for i, feature in enumerate(features):
+        values = batch.column(feature).to_numpy(zero_copy_only=False).astype(float)
+        yield pa.RecordBatch.from_pydict(
+            context
+            | {
+                "_feature": pa.array(np.full(len(starts), i, dtype=np.int32)),
+                "_values": _lists(values, starts),
+            }
+        )
+
+
+def _merged(batch, starts):
+    """The statistics of each run of lists, which is one feature of one site, in one list."""
+    lists = batch.column("_values")
+    values = lists.flatten().to_numpy()
+    begins = np.cumsum(lengths := lists.value_lengths().to_numpy()) - lengths
+    begins = begins[starts].astype(np.int64)
+    site = np.repeat(np.arange(len(starts)), np.diff(np.append(begins, len(values))))
+    stats = np.column_stack([*_segment_statistics(values, site, begins).values()])
+    columns = {c: batch.column(c).take(pa.array(starts)) for c in SITE_CONTEXT[:-1]}
+    columns["n_reads"] = _smallest(batch, starts)
+    columns["_values"] = _lists(stats.ravel(), np.arange(len(stats)) * stats.shape[1])
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _side_by_side(batch, rows, features):
+    """One row per site from lists of statistics, of which each site has ``rows`` in order."""
+    first = pa.array(np.arange(0, batch.num_rows, rows))
+    stats = batch.column("_values").flatten().to_numpy().reshape(len(first), -1)
+    columns = {c: batch.column(c).take(first) for c in SITE_CONTEXT}
+    columns |= {c: pa.array(s.copy()) for c, s in zip(statistic_columns(features), stats.T)}
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def large_site_statistics(df: DataFrame, features: list[str]) -> DataFrame:
     """The same statistics for sites that no single task should hold.
 
@@ -209,11 +350,12 @@ def build_features(
     features = [*READ_FEATURES, *(RESIDUAL_FEATURES if kmer_baselines is not None else [])]
     max_rows = max(1, value_limit // len(features))
     sizes = site_sizes(df)
-    large = (F.col("n") > max_rows) & F.col(SITE_KEYS[0]).isNotNull() & F.col(SITE_KEYS[1]).isNotNull()
+    given = F.col(SITE_KEYS[0]).isNotNull() & F.col(SITE_KEYS[1]).isNotNull()
     found = sizes.agg(
         F.sum("n").alias("rows"),
         F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_sequences"),
-        F.count_if(large).alias("large_sites"),
+        F.count_if(given & (F.col("n") > max_rows) & (F.col("n") <= value_limit)).alias("deep_sites"),
+        F.count_if(given & (F.col("n") > value_limit)).alias("large_sites"),
     ).first()
     if validate and not found["rows"]:
         raise ValueError("The input has no rows.")
@@ -235,13 +377,17 @@ def build_features(
         order = [*SITE_KEYS, "sequence"]
         rows = rows.repartition(*SITE_KEYS)
         if kmer_baselines is None:
-            return site_statistics(with_features(rows.sortWithinPartitions(*order)), features)
-        # Spark drops a sort below the join with the baselines.
-        return site_statistics(with_features(rows).sortWithinPartitions(*order), features)
+            rows = with_features(rows.sortWithinPartitions(*order))
+        else:
+            # Spark drops a sort below the join with the baselines.
+            rows = with_features(rows).sortWithinPartitions(*order)
+        if found["deep_sites"]:
+            return deep_site_statistics(rows, features, max_rows)
+        return site_statistics(rows, features)
 
     if found["large_sites"]:
         sizes = given_keys(sizes, SITE_KEYS)
-        small, large = split_sites(reads, sizes, max_rows, found["large_sites"])
+        small, large = split_sites(reads, sizes, max(1, value_limit), found["large_sites"])
         sites = statistics(small).unionByName(
             large_site_statistics(with_features(large), features)
         )

@@ -14,17 +14,19 @@ def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[s
     Sums run within groups of ``by`` in the given order, which must be unique within a
     group. Rows are dealt by ranges of both; a sum is that of the ranges before and
     that within the range, so a group with most of the rows is spread over tasks.
-    Only one row per group and range meets in a window over a group.
+    Only one row per group and range meets in a window over a group. Both shuffles are
+    given their number of tasks, or adaptive execution makes one task of a small table.
     """
     keys = [F.col(c) for c in by]
-    dealt = settle(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settle(df.repartitionByRange(ranges, *keys, *order).withColumn("_part", F.spark_partition_id()))
     parts = dealt.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_of_{c}") for c in sums])
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(
         *by, "_part", *[F.coalesce(F.sum(f"_of_{c}").over(earlier), F.lit(0)).alias(f"_of_{c}") for c in sums]
     )
     inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    within = dealt.withColumns({name: F.sum(c).over(inside) for c, name in sums.items()})
+    within = dealt.repartitionByRange(ranges, "_part").withColumns({name: F.sum(c).over(inside) for c, name in sums.items()})
     starts = starts.withColumnsRenamed({"_part": "_at", **{c: f"_by_{c}" for c in by}})
     joined = within.join(starts, _same(by))
     return joined.select(*df.columns, *[(F.col(name) + F.col(f"_of_{c}")).alias(name) for c, name in sums.items()])
